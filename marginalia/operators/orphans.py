@@ -18,6 +18,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from marginalia.session import bounded, utc_date, utc_micros
@@ -25,7 +26,7 @@ from marginalia.session import bounded, utc_date, utc_micros
 _EXTERNAL = r"(?i)^\s*(?:https?:|mailto:)"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _compose(s: pd.Series) -> pd.Series:
     nfc = unicodedata.normalize
     return s.map(lambda x: None if x is None else nfc("NFC", nfc("NFC", x).casefold()))
