@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.llm.neardup import found_pairs, near_groups
+from marginalia.llm.residue import found_residue
 from marginalia.llm.tokens import with_ids
 from marginalia.llm.unify import found_disguises, unstable, with_canonical
 from marginalia.session import table
@@ -38,7 +39,17 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_ids(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_canonical": p5_canonical, "p7_ids": p7_ids}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold template residue, stand-in text, error pages or script notices."""
+    return found_residue(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p9_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of the documents that stay once those of p9_found are excluded."""
+    return table(spark, sf_dir, "documents").select("doc_id").join(p9_found(spark, sf_dir), "doc_id", "left_anti")
+
+
+QUERIES = {"p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_canonical": p5_canonical, "p7_ids": p7_ids, "p9_found": p9_found, "p9_kept": p9_kept}
 
 P4_FOUND = r"""
 WITH words AS (SELECT DISTINCT note_id, regexp_extract_all(lower(content), '[\p{L}\p{N}]+') AS w FROM notes WHERE content IS NOT NULL),
