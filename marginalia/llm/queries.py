@@ -6,12 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.llm.neardup import found_pairs, near_groups
+from marginalia.llm.pages import found_noise, repaired_pages
 from marginalia.llm.residue import found_residue
 from marginalia.llm.tokens import with_ids
 from marginalia.llm.unify import found_disguises, unstable, with_canonical
 from marginalia.session import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Noisy lines of scanned pages: headers, page numbers, cut words, misread words."""
+    return found_noise(table(spark, sf_dir, "ref_pages"), table(spark, sf_dir, "cache_metadata"))
+
+
+def p1_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scanned pages as continuous paragraphs."""
+    return repaired_pages(table(spark, sf_dir, "ref_pages"), table(spark, sf_dir, "cache_metadata"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of notes with similarity of content of at least 0.7 over runs of three words."""
     return found_pairs(table(spark, sf_dir, "notes"), "note_id", "content")
@@ -49,7 +60,7 @@ def p9_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id").join(p9_found(spark, sf_dir), "doc_id", "left_anti")
 
 
-QUERIES = {"p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_canonical": p5_canonical, "p7_ids": p7_ids, "p9_found": p9_found, "p9_kept": p9_kept}
+QUERIES = {"p1_found": p1_found, "p1_pages": p1_pages, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_canonical": p5_canonical, "p7_ids": p7_ids, "p9_found": p9_found, "p9_kept": p9_kept}
 
 P4_FOUND = r"""
 WITH words AS (SELECT DISTINCT note_id, regexp_extract_all(lower(content), '[\p{L}\p{N}]+') AS w FROM notes WHERE content IS NOT NULL),
