@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marginalia.llm.mixing import mix_report, select_mix
 from marginalia.llm.neardup import found_pairs, near_groups
 from marginalia.llm.pages import found_noise, repaired_pages
 from marginalia.llm.residue import found_residue
@@ -50,6 +51,17 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_ids(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens, repeats, target and actual share of each source of the mix."""
+    targets = table(spark, sf_dir, "mix_targets")
+    return mix_report(select_mix(table(spark, sf_dir, "documents"), "doc_id", "text", "source", targets), targets)
+
+
+def p8_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the mix, the source each stands for and how often it is used."""
+    return select_mix(table(spark, sf_dir, "documents"), "doc_id", "text", "source", table(spark, sf_dir, "mix_targets"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold template residue, stand-in text, error pages or script notices."""
     return found_residue(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -60,7 +72,7 @@ def p9_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id").join(p9_found(spark, sf_dir), "doc_id", "left_anti")
 
 
-QUERIES = {"p1_found": p1_found, "p1_pages": p1_pages, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_canonical": p5_canonical, "p7_ids": p7_ids, "p9_found": p9_found, "p9_kept": p9_kept}
+QUERIES = {"p1_found": p1_found, "p1_pages": p1_pages, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_canonical": p5_canonical, "p7_ids": p7_ids, "p8_shares": p8_shares, "p8_selection": p8_selection, "p9_found": p9_found, "p9_kept": p9_kept}
 
 P4_FOUND = r"""
 WITH words AS (SELECT DISTINCT note_id, regexp_extract_all(lower(content), '[\p{L}\p{N}]+') AS w FROM notes WHERE content IS NOT NULL),
