@@ -49,6 +49,10 @@ INVISIBLE = (
 # Ranges of characters that make or take part in an emoji.
 EMOJI = ((0x23, 0x23), (0x2A, 0x2A), (0x30, 0x39), (0xA9, 0xA9), (0xAE, 0xAE), (0x203C, 0x203C), (0x2049, 0x2049), (0x20E3, 0x20E3), (0x2122, 0x2122), (0x2139, 0x2139), (0x2190, 0x21FF), (0x2300, 0x27BF), (0x2934, 0x2935), (0x2B00, 0x2BFF), (0x3030, 0x3030), (0x303D, 0x303D), (0x3297, 0x3299), (0x1F000, 0x1FBFF))
 
+# Ranges that hold no unstable character. The quick check looks for anything beyond them: few ranges keep it
+# cheap, and what it passes on needlessly is settled by the exact classes.
+STABLE = ((0x00, 0x7F), (0xA1, 0xAC), (0xAE, 0x17E), (0x2010, 0x2027), (0x2030, 0x205E), (0x2190, 0x2BFF), (0x3001, 0x3029), (0x3030, 0x3098), (0x309B, 0x3130), (0x3190, 0x9FFF), (0xAC00, 0xD7A3), (0x1F000, 0x1FBFF))
+
 _FORM_TAGS = ("<wide>", "<narrow>", "<font>", "<initial>", "<medial>", "<final>", "<isolated>")
 
 
@@ -68,8 +72,8 @@ def _class(ranges, java: bool = False) -> str:
 
 
 @cache
-def _properties() -> tuple[dict[str, str], str, str]:
-    """Canonical letters of other forms; the classes of letters of other forms and of all unstable characters (Java's syntax)."""
+def _properties() -> tuple[dict[str, str], str, list[int]]:
+    """Canonical letters of other forms, the class of these letters, and all unstable code points."""
     forms, singles = {}, []
     for p in range(0xA0, 0x20000):
         ch = chr(p)
@@ -86,12 +90,12 @@ def _properties() -> tuple[dict[str, str], str, str]:
     spaces = [p for p in range(0xA0, 0x3001) if unicodedata.category(chr(p)) == "Zs"]
     form_class = _class(_ranges(sorted(map(ord, forms))))
     every = sorted({*map(ord, forms), *singles, *spaces, *map(ord, _LATIN_OF), *(p for a, b in INVISIBLE for p in range(a, b + 1))})
-    return forms, form_class, _class(_ranges(every), java=True)
+    return forms, form_class, every
 
 
 def unstable(col: Column) -> Column:
     """Whether a text holds any character that the operator may have to touch: the quick check."""
-    return col.rlike(f"[{_properties()[2]}]")
+    return col.rlike(f"[^{_class(STABLE, java=True)}]")
 
 
 class Unifier:
@@ -168,8 +172,9 @@ def _unify(s: pd.Series) -> pd.DataFrame:
 
 def with_canonical(df: DataFrame, text: str, out: str) -> DataFrame:
     """df with the canonical form of a text column; null stays null, stable texts are passed on unchanged in the JVM."""
-    col = F.col(text)
-    return df.withColumn(out, F.when(unstable(col), _unify(F.when(unstable(col), col))["text"]).otherwise(col))
+    col, check = F.col(text), F.col("_unstable")
+    df = df.withColumn("_unstable", unstable(col))
+    return df.withColumn(out, F.when(check, _unify(F.when(check, col))["text"]).otherwise(col)).drop("_unstable")
 
 
 def found_disguises(sources: list[tuple[str, DataFrame, str, str]]) -> DataFrame:
