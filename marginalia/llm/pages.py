@@ -169,43 +169,47 @@ def running_text(lines: DataFrame) -> DataFrame:
     return text.withColumn("_inner", inner).drop("_nx", "_pm", "_np", "_pp", "_head")
 
 
-def misreadings(text: DataFrame, ratio: int = 12, supported: int = 4, least: int = 3) -> DataFrame:
+def word_counts(text: DataFrame) -> DataFrame:
+    """word, n: how often each word occurs in running text, in lower case, cut pieces aside."""
+    return text.select(F.explode(F.transform(_words(F.col("_inner")), F.lower)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+
+def misreadings(text: DataFrame, counts: DataFrame, ratio: int = 12, supported: int = 4, least: int = 3) -> DataFrame:
     """word, right: the misread forms among all words of running text (lower case) and the form they stand for.
 
     A form counts as misread if a form of its skeleton that turns into it by known confusions is ``ratio`` times as
     frequent (and occurs ``least`` times), or ``supported`` times as frequent and seen between the same neighbours.
     """
-    words = text.select(F.transform(_words(F.col("_inner")), F.lower).alias("_w"))
-    near = F.transform("_w", lambda x, i: F.struct(x.alias("word"), F.coalesce(F.get("_w", i - 1), F.lit("")).alias("l"), F.coalesce(F.get("_w", i + 1), F.lit("")).alias("r")))
-    seen = words.select(F.explode(near).alias("_n")).groupBy("_n.word", "_n.l", "_n.r").agg(F.count(F.lit(1)).alias("c"))
-    seen = cut(seen)
-    counts = seen.groupBy("word").agg(F.sum("c").alias("n")).withColumn("sk", strokes(F.col("word")))
-    # A word of digits and letters is no word of its own if a spelling of letters exists; it stays a candidate only.
+    counts = counts.withColumn("sk", strokes(F.col("word")))
     right = counts.where((F.col("n") >= least) & ~F.col("word").rlike(r"[0-9@|!]")).select("sk", F.col("word").alias("right"), F.col("n").alias("rn"))
     pairs = counts.join(right, "sk").where((F.col("word") != F.col("right")) & (F.col("rn") >= supported * F.col("n")))
     pairs = cut(pairs.where(_turns("right", "word")))
-    odd = F.col("word").rlike(r"[0-9@|!]")
-    sure = pairs.where((F.col("rn") >= ratio * F.col("n")) | odd)
-    doubtful = pairs.where(~((F.col("rn") >= ratio * F.col("n")) | odd)).select("word", "right", "n", "rn")
-    at = seen.join(bounded(doubtful.select("word", "right").distinct()), "word")
-    also = seen.select(F.col("word").alias("right"), "l", "r").distinct()
+    # A form with digits or signs is no word of its own once a spelling in letters exists.
+    clear = (F.col("rn") >= ratio * F.col("n")) | F.col("word").rlike(r"[0-9@|!]")
+    sure, doubtful = pairs.where(clear), pairs.where(~clear).select("word", "right", "n", "rn")
+    # The neighbours are needed of the doubtful forms and their counterparts only.
+    asked = doubtful.select(F.explode(F.array("word", "right")).alias("word")).distinct()
+    words = text.select(F.transform(_words(F.col("_inner")), F.lower).alias("_w"))
+    near = F.transform("_w", lambda x, i: F.struct(x.alias("word"), F.coalesce(F.get("_w", i - 1), F.lit("")).alias("l"), F.coalesce(F.get("_w", i + 1), F.lit("")).alias("r")))
+    seen = words.select(F.explode(near).alias("_n")).select("_n.word", "_n.l", "_n.r").join(bounded(asked), "word", "left_semi").groupBy("word", "l", "r").agg(F.count(F.lit(1)).alias("c"))
+    at = doubtful.select("word", "right").join(seen, "word")
+    also = seen.select(F.col("word").alias("right"), "l", "r")
     backed = at.join(also, ["right", "l", "r"], "left_semi").groupBy("word", "right").agg(F.sum("c").alias("_b"))
     more = doubtful.join(backed, ["word", "right"]).where("2 * _b >= n").select("word", "right", "rn")
     return sure.select("word", "right", "rn").unionByName(more).groupBy("word").agg(F.max_by("right", "rn").alias("right"))
 
 
-def cut_words(text: DataFrame, least: int = 2) -> DataFrame:
+def cut_words(text: DataFrame, counts: DataFrame, least: int = 2) -> DataFrame:
     """page_id, field_name, line_no of the lines whose last word goes on in the next text line.
 
     Marks other than the plain hyphen are always cuts. After a plain hyphen the joined word and the compound are compared
     by their counts over all running text, both by stroke skeleton, as either half may be misread; where neither is known
-    (as when the next page is missing), a first half known from compounds and as a word of its own is a compound's.
+    (as when the next page is missing), a first half known from compounds is a compound's.
     """
-    inner = text.select("_inner")
-    joined = inner.select(F.explode(_words(F.col("_inner"))).alias("w")).groupBy(strokes(F.col("w")).alias("_k")).agg(F.count(F.lit(1)).alias("_joined"))
-    compound = inner.select(F.explode(F.regexp_extract_all("_inner", F.lit(r"([\p{L}\p{M}\p{N}@|]+(?:-[\p{L}\p{M}\p{N}@|]+)+)"), F.lit(1))).alias("w"))
-    whole = compound.groupBy(strokes(F.regexp_replace("w", "-", "")).alias("_k")).agg(F.count(F.lit(1)).alias("_compound"))
-    firsts = compound.groupBy(strokes(F.substring_index("w", "-", 1)).alias("_t")).agg(F.count(F.lit(1)).alias("_firsts"))
+    joined = counts.groupBy(strokes(F.col("word")).alias("_k")).agg(F.sum("n").alias("_joined"))
+    compound = text.where(F.col("_inner").contains("-")).select(F.explode(F.regexp_extract_all("_inner", F.lit(r"([\p{L}\p{M}\p{N}@|]+(?:-[\p{L}\p{M}\p{N}@|]+)+)"), F.lit(1))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    whole = compound.groupBy(strokes(F.regexp_replace("w", "-", "")).alias("_k")).agg(F.sum("n").alias("_compound"))
+    firsts = compound.groupBy(strokes(F.substring_index("w", "-", 1)).alias("_t")).agg(F.sum("n").alias("_firsts"))
     ends = text.where("_mark <> ''").select("page_id", "field_name", "line_no", "_mark", strokes(F.col("_tail")).alias("_t"), strokes(F.concat(F.col("_tail"), F.coalesce("_next", F.lit("")))).alias("_k"), F.col("_next").isNotNull().alias("_has"))
     ends = ends.join(joined, "_k", "left").join(whole, "_k", "left").join(firsts, "_t", "left")
     j, c = F.coalesce("_joined", F.lit(0)), F.coalesce("_compound", F.lit(0))
@@ -213,22 +217,24 @@ def cut_words(text: DataFrame, least: int = 2) -> DataFrame:
     return ends.where(is_cut).select("page_id", "field_name", "line_no")
 
 
-def _prepared(pages: DataFrame, cache: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+def _prepared(pages: DataFrame, cache: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Lines with their edges, running text, word counts; each is written once, as several steps read it."""
     titles = None
     if cache is not None:
         titles = cache.select(F.concat_ws("\u0001", F.coalesce("vault_key", F.lit("")), F.coalesce("ref_path", F.lit(""))).alias("ref"), "title")
-    lines = cut(edge_lines(page_lines(pages), titles))
-    return lines, cut(running_text(lines))
+    lines = cut(edge_lines(cut(page_lines(pages)), titles))
+    text = cut(running_text(lines))
+    return lines, text, cut(word_counts(text))
 
 
 def found_noise(pages: DataFrame, cache: DataFrame | None = None) -> DataFrame:
     """(page_id, field_name, line_no, kind): one row per noisy line and kind of noise in it."""
-    lines, text = _prepared(pages, cache)
+    lines, text, counts = _prepared(pages, cache)
     key = ("page_id", "field_name", "line_no")
     edges = lines.where("edge is not null").select(*key, F.col("edge").alias("kind"))
-    cuts = cut_words(text).withColumn("kind", F.lit("hyphen"))
+    cuts = cut_words(text, counts).withColumn("kind", F.lit("hyphen"))
     words = text.select(*key, F.explode(F.array_distinct(F.transform(_words(F.col("_inner")), F.lower))).alias("word"))
-    wrong = words.join(bounded(misreadings(text).select("word")), "word", "left_semi").select(*key).distinct().withColumn("kind", F.lit("misread"))
+    wrong = words.join(bounded(misreadings(text, counts).select("word")), "word", "left_semi").select(*key).distinct().withColumn("kind", F.lit("misread"))
     return edges.unionByName(cuts).unionByName(wrong)
 
 
@@ -250,15 +256,16 @@ def repaired_pages(pages: DataFrame, cache: DataFrame | None = None) -> DataFram
     Headers and page numbers are gone, misread words put right, cut words joined; a word that goes on on the next page is
     whole on the page where it begins and missing where it ends. Pages without running text give no row.
     """
-    lines, text = _prepared(pages, cache)
+    lines, text, counts = _prepared(pages, cache)
     key = ["page_id", "field_name", "line_no"]
-    text = text.join(cut_words(text).withColumn("_cut", F.lit(True)), key, "left").join(_corrected(text, misreadings(text)), key, "left")
-    blank = lines.where("line = ''").select(*key, F.lit(1).alias("_blank"))
-    rows = text.select(*key, "ref", "page_number", F.coalesce("fixed", "line").alias("_l"), "_mark", F.coalesce("_cut", F.lit(False)).alias("_cut"), "_next", "_first", "_last", F.lit(0).alias("_blank"))
+    text = text.join(cut_words(text, counts).withColumn("_cut", F.lit(True)), key, "left").join(_corrected(text, misreadings(text, counts)), key, "left")
+    rows = text.select(*key, "ref", "page_number", F.coalesce("fixed", "line").alias("_l"), "_mark", F.coalesce("_cut", F.lit(False)).alias("_cut"), "_next", "_first", "_last")
     ends = rows.where("_last and _cut").select("ref", (F.col("page_number") + 1).alias("page_number"), F.lit(True).alias("_taken")).distinct()
-    rows = rows.join(ends, ["ref", "page_number"], "left").drop("ref", "page_number").unionByName(blank, allowMissingColumns=True)
+    rows = rows.join(ends, ["ref", "page_number"], "left").drop("ref", "page_number")
+    # A gap in the line numbers is an empty line, which parts paragraphs unless it cuts a word.
     order = W.partitionBy("page_id", "field_name").orderBy("line_no")
-    rows = rows.withColumn("_para", F.sum("_blank").over(order.rowsBetween(W.unboundedPreceding, 0))).where("_blank = 0")
+    gap = (F.col("line_no") - F.lag("line_no").over(order) > 1) & (F.lag("_mark").over(order) == "")
+    rows = rows.withColumn("_gap", F.coalesce(gap.cast("int"), F.lit(0))).withColumn("_para", F.sum("_gap").over(order.rowsBetween(W.unboundedPreceding, 0)))
     body = F.when(F.col("_cut"), F.regexp_replace("_l", rf"[{CUT_MARKS}]$", "")).otherwise(F.col("_l"))
     body = F.when(F.col("_cut") & F.col("_last"), F.concat(body, F.coalesce("_next", F.lit("")))).otherwise(body)
     body = F.when(F.col("_first") & F.coalesce("_taken", F.lit(False)), F.regexp_replace(body, rf"^[^{_LETTER}]*[{_LETTER}]+[^{_LETTER}\s]*\s*", "")).otherwise(body)

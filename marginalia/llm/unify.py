@@ -51,7 +51,7 @@ EMOJI = ((0x23, 0x23), (0x2A, 0x2A), (0x30, 0x39), (0xA9, 0xA9), (0xAE, 0xAE), (
 
 # Ranges that hold no unstable character. The quick check looks for anything beyond them: few ranges keep it
 # cheap, and what it passes on needlessly is settled by the exact classes.
-STABLE = ((0x00, 0x7F), (0xA1, 0xAC), (0xAE, 0x17E), (0x2010, 0x2027), (0x2030, 0x205E), (0x2190, 0x2BFF), (0x3001, 0x3029), (0x3030, 0x3098), (0x309B, 0x3130), (0x3190, 0x9FFF), (0xAC00, 0xD7A3), (0x1F000, 0x1FBFF))
+STABLE = ((0x00, 0x7F), (0xA1, 0xAC), (0xAE, 0x17E), (0x2010, 0x2027), (0x2030, 0x205E), (0x2190, 0x2BFF), (0x3001, 0x3029), (0x3030, 0x3098), (0x309B, 0x3130), (0x3190, 0x9FFF), (0xAC00, 0xD7A3), (0x1F000, 0x1FAFF))
 
 _FORM_TAGS = ("<wide>", "<narrow>", "<font>", "<initial>", "<medial>", "<final>", "<isolated>")
 
