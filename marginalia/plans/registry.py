@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from marginalia.plans import data_queries
+from marginalia.plans import data_queries, oracle_vault, vault_queries
 
 
 def queries() -> dict:
-    return dict(data_queries.QUERIES)
+    return vault_queries.QUERIES | data_queries.QUERIES
 
 
 def oracles() -> dict:
-    return dict(data_queries.ORACLES)
+    return oracle_vault.ORACLES | data_queries.ORACLES
