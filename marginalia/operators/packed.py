@@ -25,11 +25,13 @@ from pyspark.sql import types as T
 
 from marginalia.session import bounded
 
-_SPACE = r"[^\S\n\t]|[\p{Z}]"
+_SPACE = r"[[^\S\n\t]\p{Z}]++"
 _SPECIAL = r"\[\]\"'“”‘’\\;；|,，、/•·#*\-\n\t"
-_WORD = rf"[^\s\p{{Z}}{_SPECIAL}](?:[^\s\p{{Z}}{_SPECIAL}]|['’\-/*#](?=[^\s\p{{Z}}{_SPECIAL}]))*"
+_ORDINARY = rf"[^\s\p{{Z}}{_SPECIAL}]"
+# Repetitions of groups are bounded, as Java's matcher recurses over them; a longer run just takes several tokens.
+_WORD = rf"{_ORDINARY}++(?:['’\-/*#]{_ORDINARY}++){{0,12}}+"
 #: One token: a run of words parted by single spaces, a line end, a run of blanks, or any single character.
-_TOKEN = rf"(?s){_WORD}(?: {_WORD})*|\r?\n|(?:{_SPACE})+|."
+_TOKEN = rf"(?s){_WORD}(?: {_WORD}){{0,12}}+|\r?\n|(?:{_SPACE})|."
 
 ITEM = T.ArrayType(T.StructType([T.StructField("s", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("q", T.StringType())]))
 _PAIRS = {'"': '"', "'": "'", "“": "”", "‘": "’"}

@@ -27,6 +27,7 @@ class Vault:
     pages: DataFrame | None = None
     cache: DataFrame | None = None
     images: DataFrame | None = None
+    root: str | None = None
     read_only: bool = False
     clock: Callable[[], dt.datetime] = lambda: dt.datetime.now(dt.timezone.utc)
     audit: list[tuple] = field(default_factory=list)
@@ -105,6 +106,14 @@ def _outline_free(v: Vault) -> DataFrame:
     return references.marked_text(v.pages).join(v.cache.select("path", "title"), "path", "left").select("path", "title", F.lit(0).alias("part"), "content")
 
 
+def _add_image(v: Vault, source: str, destination: str) -> DataFrame:
+    from marginalia.sources.sinks import import_image
+
+    if v.root is None:
+        raise guards.GuardError("this vault has no folder")
+    return v.spark.createDataFrame([import_image(v.root, source, destination)], "path string, width int, height int")
+
+
 #: name: (operation class, function of the vault and arguments).
 TOOLS: dict[str, tuple[str, Callable[..., DataFrame]]] = {
     "read_note": ("READ", lambda v, path: v.notes.where(F.col("path") == _note(path))),
@@ -127,6 +136,7 @@ TOOLS: dict[str, tuple[str, Callable[..., DataFrame]]] = {
     "update_canvas": ("UPDATE", lambda v, path, content: v.append(history.update(v.versions, _canvas(path), _valid_canvas(v, path, content), v.clock()))),
     "delete_canvas": ("DELETE", lambda v, path: v.append(history.delete(v.versions, _canvas(path), v.clock()))),
     "delete_attachment": ("DELETE", lambda v, path: v.append(history.delete(v.versions, guards.check_relative(path, ("notes",)), v.clock()))),
+    "add_image": ("CREATE", _add_image),
     "note_history": ("HISTORY", lambda v, path, max_entries=10: history.file_history(v.versions, path, max_entries)),
     "revert_note": ("UPDATE", lambda v, path, commit: v.append(history.revert(v.versions, _note(path), int(commit), v.clock()))),
     "vault_changelog": ("HISTORY", lambda v, max_entries=20, since=None: history.changelog(v.versions, max_entries, since)),
