@@ -207,7 +207,7 @@ def cut_words(text: DataFrame, counts: DataFrame, least: int = 2) -> DataFrame:
     (as when the next page is missing), a first half known from compounds is a compound's.
     """
     joined = counts.groupBy(strokes(F.col("word")).alias("_k")).agg(F.sum("n").alias("_joined"))
-    compound = text.where(F.col("_inner").contains("-")).select(F.explode(F.regexp_extract_all("_inner", F.lit(r"([\p{L}\p{M}\p{N}@|]+(?:-[\p{L}\p{M}\p{N}@|]+)+)"), F.lit(1))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    compound = text.where(F.col("_inner").contains("-")).select(F.explode(F.regexp_extract_all("_inner", F.lit(r"([\p{L}\p{M}\p{N}@|]+(?:-[\p{L}\p{M}\p{N}@|]+){1,20})"), F.lit(1))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     whole = compound.groupBy(strokes(F.regexp_replace("w", "-", "")).alias("_k")).agg(F.sum("n").alias("_compound"))
     firsts = compound.groupBy(strokes(F.substring_index("w", "-", 1)).alias("_t")).agg(F.sum("n").alias("_firsts"))
     ends = text.where("_mark <> ''").select("page_id", "field_name", "line_no", "_mark", strokes(F.col("_tail")).alias("_t"), strokes(F.concat(F.col("_tail"), F.coalesce("_next", F.lit("")))).alias("_k"), F.col("_next").isNotNull().alias("_has"))
