@@ -33,7 +33,7 @@ from marginalia.session import bounded, cut
 CONFUSIONS = (
     ("e", "c"), ("c", "e"), ("a", "@"), ("t", "f"), ("f", "t"), ("o", "0"), ("s", "5"), ("n", "ri"), ("ri", "n"), ("i", "1"), ("l", "1"), ("d", "cl"), ("cl", "d"), ("l", "|"), ("i", "|"),
     ("u", "ii"), ("ii", "u"), ("h", "b"), ("b", "h"), ("g", "9"), ("q", "9"), ("m", "rn"), ("rn", "m"), ("w", "vv"), ("vv", "w"), ("b", "6"), ("in", "m"), ("m", "in"), ("i", "l"), ("l", "i"),
-    ("li", "h"), ("n", "u"), ("u", "n"), ("z", "2"), ("nn", "m"), ("m", "nn"), ("i", "!"), ("l", "!"), ("b", "8"), ("h", "li"), ("g", "q"), ("q", "g"),
+    ("li", "h"), ("n", "u"), ("u", "n"), ("z", "2"), ("i", "!"), ("l", "!"), ("b", "8"), ("h", "li"), ("g", "q"), ("q", "g"),
 )
 # The strokes of glyphs that are confused; every side of a confusion has the same strokes.
 STROKES = {"e": "c", "@": "a", "f": "t", "0": "o", "5": "s", "1": "i", "l": "i", "|": "i", "!": "i", "r": "i", "9": "g", "q": "g", "2": "z",

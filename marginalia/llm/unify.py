@@ -113,7 +113,7 @@ class Unifier:
         self.accent = regex.compile(r"\p{L}\p{M}+")
         keys = "".join(_LATIN_OF)
         self.foreign = regex.compile(f"[{keys}]")
-        self.word = regex.compile(rf"[\p{{L}}\p{{M}}]*[{keys}][\p{{L}}\p{{M}}]*")
+        self.word = regex.compile(r"[\p{L}\p{M}]+")
         self.latin = regex.compile(rf"(?![{keys}])\p{{Latin}}")
         self.other = regex.compile(rf"(?![{keys}])[^\P{{L}}\p{{Latin}}]")
 
@@ -143,7 +143,7 @@ class Unifier:
 
         def latin(m: regex.Match) -> str:
             word = m[0]
-            if not self.latin.search(word) or self.other.search(word):
+            if not self.foreign.search(word) or not self.latin.search(word) or self.other.search(word):
                 return word
             kinds.add("lookalike")
             return self.foreign.sub(lambda x: _LATIN_OF[x[0]], word)
@@ -152,7 +152,9 @@ class Unifier:
         text = self.form.sub(letters, text)
         text = self.space.sub(blank, text)
         text = self.accent.sub(compose, text)
-        return self.word.sub(latin, text), sorted(kinds)
+        if self.foreign.search(text):
+            text = self.word.sub(latin, text)
+        return text, sorted(kinds)
 
 
 _UNIFIER: list[Unifier] = []
