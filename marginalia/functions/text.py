@@ -16,11 +16,11 @@ SPACE = BLANK + r"\n\x0B\f\r\x{85}\x{2028}\x{2029}"
 
 
 def trim_blank(c: Column) -> Column:
-    return F.regexp_replace(c, f"^[{BLANK}]+|[{BLANK}]+$", "")
+    return F.regexp_replace(c, f"^[{BLANK}]+|(?<![{BLANK}])[{BLANK}]++$", "")
 
 
 def trim_space(c: Column) -> Column:
-    return F.regexp_replace(c, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.regexp_replace(c, f"^[{SPACE}]+|(?<![{SPACE}])[{SPACE}]++$", "")
 
 
 def query_terms(query: str | None) -> list[str]:

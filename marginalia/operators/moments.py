@@ -56,7 +56,7 @@ CASCADE: list[tuple[str, str, str]] = [
 #: Digits of a plain count since the epoch, and its factor to microseconds (0: nanoseconds); 8, 12 and 14 digits may be dates above.
 EPOCHS = ((r"^\d{9,10}(?:\.\d+)?$", 1_000_000), (r"^\d{12,13}$", 1_000), (r"^\d{16}$", 1), (r"^\d{19}$", 0))
 
-_WRAP = r"^(?:[\s\p{Z}\"'“”‘’]|\[\[)+|(?:[\s\p{Z}\"'“”‘’]|\]\])+$"
+_WRAP = r"^(?:[\s\p{Z}\"'“”‘’]|\[\[){1,60}+|(?:[\s\p{Z}\"'“”‘’]|\]\]){1,60}+$"
 _FULL_MONTHS = "january february march april may june july august september october november december".split()
 
 

@@ -34,7 +34,7 @@ def _compose(s: pd.Series) -> pd.Series:
 
 def fold_name(col: Column) -> Column:
     """A name trimmed, in composed form and without case; only names beyond ASCII go through Python."""
-    bare = F.regexp_replace(col, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+    bare = F.regexp_replace(col, r"^[\s\p{Z}]+|(?<![\s\p{Z}])[\s\p{Z}]++$", "")
     plain = bare.rlike(r"^[\x00-\x7f]*$")
     return F.when(plain, F.lower(bare)).otherwise(_compose(F.when(~plain, bare)))
 

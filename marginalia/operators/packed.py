@@ -157,7 +157,7 @@ def _item_text(parts: Column, rule: Column, tags: Column) -> Column:
     raw = F.array_join(F.slice(parts, rule["s"], rule["n"]), "")
     raw = F.when(rule["q"] == '"', F.replace(raw, F.lit('""'), F.lit('"'))).otherwise(raw)
     raw = F.when(raw.contains("\\"), F.regexp_replace(raw, r"\\([^\p{L}\p{N}])", "$1")).otherwise(raw)
-    raw = F.regexp_replace(raw, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+    raw = F.regexp_replace(raw, r"^[\s\p{Z}]+|(?<![\s\p{Z}])[\s\p{Z}]++$", "")
     return F.when(tags, F.regexp_replace(raw, r"^#+\s*", "")).otherwise(raw)
 
 
