@@ -91,7 +91,7 @@ def page_lines(pages: DataFrame) -> DataFrame:
     rows = with_canonical(rows, "_x", "_c")
     # A soft hyphen is a character without width, but at a line's end it is a cut mark: the canonical form drops it.
     lines = rows.select("page_id", "field_name", "ref", "page_number", F.posexplode(F.split("_c", "\n")).alias("_p", "_l"))
-    return lines.select("page_id", "field_name", "ref", "page_number", (F.col("_p") + 1).cast("bigint").alias("line_no"), F.regexp_replace("_l", r"^[\s\p{Z}]+|[\s\p{Z}]+$", "").alias("line"))
+    return lines.select("page_id", "field_name", "ref", "page_number", (F.col("_p") + 1).cast("bigint").alias("line_no"), F.regexp_replace("_l", r"^[\s\p{Z}]+|(?<![\s\p{Z}])[\s\p{Z}]++$", "").alias("line"))
 
 
 def _number(text: Column) -> Column:
@@ -119,7 +119,8 @@ def edge_lines(lines: DataFrame, titles: DataFrame | None = None, least_pages: i
     # The masked line: outer numbers and separators away, then by strokes.
     title = F.regexp_replace(low, rf"^(?:[0-9]{{1,4}}|[ivxlc]{{1,6}})\s*(?:[·•|–—\-]\s*|\s{{2,}}|\s)|(?:\s*[·•|–—\-]\s*|\s{{2,}}|\s)(?:[0-9il|o]{{1,4}}|[ivxlc]{{1,6}})$", "")
     ranked = ranked.withColumns({"_num": is_number, "_mask": F.regexp_replace(strokes(title), r"[^\p{L}\p{N}]+", " ")})
-    outer = (F.col("_top") <= 2) | (F.col("_end") <= 2)
+    # No title is as long as this; it keeps the patterns below off endless lines.
+    outer = ((F.col("_top") <= 2) | (F.col("_end") <= 2)) & (F.length("line") <= 300)
     edges = ranked.where(outer & ~F.col("_num") & (F.length("_mask") >= 6) & ~F.col("line").rlike(r"[.!?…;:,]$"))
     repeated = edges.groupBy("ref", "_mask").agg(F.count_distinct("page_id").alias("_pages")).where(F.col("_pages") >= least_pages)
     # A title that comes back in one reference is a title wherever it stands at an edge.
