@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from marginalia.session import cut
 
@@ -155,16 +156,17 @@ def similar_classes(sets: DataFrame, num: int, den: int) -> tuple[DataFrame, Dat
     held = postings.groupBy("run").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     ranked = postings.join(held, "run").groupBy("id").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "run"))).alias("ranked"))
     length = F.col("n") - F.floor((F.lit(num) * F.col("n") + (den - 1)) / F.lit(den)).cast("int") + 1 - (F.col("n") - F.size("ranked"))
-    heads = ranked.where(length > 0).select("id", F.explode(F.slice("ranked", F.lit(1), length)).alias("_h")).select("id", F.col("_h.run").alias("run"))
-
-    sizes = heads.groupBy("run").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1")
-    blocks = heads.join(sizes, "run").join(reps.select("id", "n", "pop", "bits"), "id")
-    parts = F.ceil(F.col("_c") / F.lit(HOT_BLOCK)).cast("int")
-    blocks = blocks.withColumn("_p", parts).withColumn("blk", F.pmod(F.xxhash64("id"), F.col("_p")).cast("int"))
-    blocks = blocks.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_p") - 1)))
-    blocks = blocks.select("run", F.least("blk", "_o").alias("bi"), F.greatest("blk", "_o").alias("bj"), "id", "n", "pop", "blk", "bits")
-    tiles = blocks.repartition("run", "bi", "bj").sortWithinPartitions("run", "bi", "bj", "pop")
-    pairs = tiles.mapInArrow(_compare(num, den), "a bigint, b bigint").distinct()
+    heads = ranked.where(length > 0).join(reps.select("id", "pop", "bits"), "id").select("id", "n", "pop", "bits", F.explode(F.slice("ranked", F.lit(1), length)).alias("_h"))
+    # One shuffle by run: the window that counts a block leaves it in one partition, sorted by population count.
+    block = W.partitionBy("run").orderBy("pop").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    blocks = heads.select(F.col("_h.run").alias("run"), "id", "n", "pop", "bits").withColumn("_c", F.count(F.lit(1)).over(block)).where("_c > 1")
+    compare, schema, zero = _compare(num, den), "a bigint, b bigint", F.lit(0)
+    usual = blocks.where(F.col("_c") <= HOT_BLOCK).select("run", zero.alias("bi"), zero.alias("bj"), "id", "n", "pop", zero.alias("blk"), "bits")
+    hot = blocks.where(F.col("_c") > HOT_BLOCK).withColumn("_p", F.ceil(F.col("_c") / F.lit(HOT_BLOCK)).cast("int")).withColumn("blk", F.pmod(F.xxhash64("id"), F.col("_p")).cast("int"))
+    hot = hot.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_p") - 1)))
+    hot = hot.select("run", F.least("blk", "_o").alias("bi"), F.greatest("blk", "_o").alias("bj"), "id", "n", "pop", "blk", "bits")
+    hot = hot.repartition("run", "bi", "bj").sortWithinPartitions("run", "bi", "bj", "pop")
+    pairs = usual.mapInArrow(compare, schema).unionByName(hot.mapInArrow(compare, schema)).distinct()
 
     left, right = reps.select(F.col("id").alias("a"), F.col("runs").alias("_ra")), reps.select(F.col("id").alias("b"), F.col("runs").alias("_rb"))
     exact = pairs.join(left, "a").join(right, "b").withColumn("_i", F.size(F.array_intersect("_ra", "_rb")))
