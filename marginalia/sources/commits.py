@@ -30,7 +30,9 @@ class CommitReader(DataSourceReader):
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         o = self.options
         command = ["git", "-C", o["root"], "log", "--format=%H%n%cI%n%s"]
-        command += [f"--max-count={int(o['limit'])}"] * ("limit" in o) + [f"--since={o['since']}"] * ("since" in o) + (["--", o["path"]] if "path" in o else [])
+        command += [f"--max-count={int(o['limit'])}"] if "limit" in o else []
+        command += [f"--since={o['since']}"] if "since" in o else []
+        command += ["--", o["path"]] if "path" in o else []
         done = subprocess.run(command, capture_output=True, text=True, check=False)
         yield from parse_log(done.stdout) if done.returncode == 0 else []
 

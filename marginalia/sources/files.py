@@ -102,6 +102,7 @@ class VaultSource(DataSource):
 
 def vault_files(spark: SparkSession, root: str, directory: str = "", **options: object) -> DataFrame:
     """The files under root (see the module for the options). The root must be readable by every executor."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(VaultSource)
     given = {k: str(v).lower() if isinstance(v, bool) else str(v) for k, v in options.items()}
     return spark.read.format("vault").options(root=root, directory=directory, **given).load()
