@@ -95,9 +95,9 @@ def page_lines(pages: DataFrame) -> DataFrame:
 
 
 def _number(text: Column) -> Column:
-    """The number that a line without letters gives, digits misread as letters put right; null if it gives none."""
-    digits = F.translate(F.regexp_replace(text, r"[^0-9lIi|OoSsBZ]", ""), "lIi|OoSsBZ", "1111005582")
-    return F.when(text.rlike(r"^[0-9lIi|OoSsBZ]{1,4}$") & text.rlike(r"[0-9]|^[lI|]+$"), digits.try_cast("int"))
+    """The number that a token of digits gives, digits misread as letters put right; null if it gives none."""
+    digits = F.translate(text, "lIi|OoSsBZ", "1111005582")
+    return F.when(text.rlike(r"^[0-9lIi|OoSsBZ]{1,4}$") & text.rlike(r"[0-9]|^[lI|OS]+$"), digits.try_cast("int"))
 
 
 def edge_lines(lines: DataFrame, titles: DataFrame | None = None, least_pages: int = 2) -> DataFrame:
@@ -109,12 +109,14 @@ def edge_lines(lines: DataFrame, titles: DataFrame | None = None, least_pages: i
     filled = lines.where("line <> ''")
     ranked = filled.withColumns({"_top": F.row_number().over(page.orderBy("line_no")), "_end": F.row_number().over(page.orderBy(F.desc("line_no")))})
     low = F.lower("line")
-    bare = F.regexp_replace(low, r"^(?:page|seite|p\.|pg\.|s\.)\s*", "")
-    bare = F.regexp_replace(bare, r"\s*(?:of|von|/)\s*[0-9li|o]{1,4}$", "")
-    bare = F.regexp_replace(bare, r"^[^\p{L}\p{N}|]+|[^\p{L}\p{N}|]+$", "")
-    shape = F.col("line").rlike(r"^[\s\[\](){}·•.|\-–—_*~=]*(?i:page|seite|p\.|pg\.|s\.)?\s*[\p{L}\p{N}|]{1,7}(?i:\s*(?:of|von|/)\s*[0-9li|o]{1,4})?[\s\[\](){}·•|\-–—_*~=]*$")
-    number = F.coalesce(_number(bare), F.when(bare.rlike(rf"^{_ROMAN}$") & (bare != ""), F.lit(0)))
-    near = (number == 0) | ((number >= 0) & (number <= F.coalesce(F.col("page_number"), number) + 50))
+    bare = F.regexp_replace("line", r"^(?i:page|seite|p\.|pg\.|s\.)\s*", "")
+    bare = F.regexp_replace(bare, r"\s*(?i:of|von|/)\s*[0-9lIi|OoSs]{1,4}$", "")
+    bare = F.regexp_replace(F.regexp_replace(bare, r"^[^\p{L}\p{N}|]+|[^\p{L}\p{N}|]+$", ""), r"^(?i:page|seite|p\.|pg\.|s\.)\s*", "")
+    shape = F.col("line").rlike(r"^[\s\[\](){}·•.|\-–—_*~=]*(?i:page|seite|p\.|pg\.|s\.)?\s*[\p{L}\p{N}|]{1,7}(?i:\s*(?:of|von|/)\s*[0-9li|os]{1,4})?[\s\[\](){}·•|\-–—_*~=]*$")
+    number = F.coalesce(_number(bare), F.when(F.lower(bare).rlike(rf"^{_ROMAN}$") & (bare != ""), F.lit(0)))
+    page_at = F.coalesce(F.col("page_number"), number)
+    # All digits misread as letters count only near the page's own number.
+    near = (number == 0) | (bare.rlike("[0-9]") & (number <= page_at + 50)) | (F.abs(number - page_at) <= 30)
     is_number = shape & number.isNotNull() & near
     # The masked line: outer numbers and separators away, then by strokes.
     title = F.regexp_replace(low, rf"^(?:[0-9]{{1,4}}|[ivxlc]{{1,6}})\s*(?:[·•|–—\-]\s*|\s{{2,}}|\s)|(?:\s*[·•|–—\-]\s*|\s{{2,}}|\s)(?:[0-9il|o]{{1,4}}|[ivxlc]{{1,6}})$", "")
