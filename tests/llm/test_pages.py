@@ -53,6 +53,13 @@ def test_empty_tables_and_titles(spark, noisy):
     assert [tuple(r) for r in G.found_noise(one, cache).collect()] == [(1, "text", 1, "header")]
 
 
+def test_page_numbers(spark):
+    lines = ["3", "[3]", "- 3 -", "· iii ·", "p. 3", "Page 3 of 9", "Page l3 of I9", "IO", "- ll -", "[lO]", "so", "1951.", "is", "Sis"]
+    rows = [(i, "v", f"{i}.pdf", 10, f"The careful heron crossed linen.\n\n{x}", None, None, None) for i, x in enumerate(lines)]
+    got = {r["page_id"] for r in G.found_noise(spark.createDataFrame(rows, SCHEMA)).where("kind = 'page_number'").collect()}
+    assert {lines[i] for i in got} == set(lines[:10])
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet="abcdefghiklmnoqrstuvwz", min_size=1, max_size=9), st.data())
 def test_a_misreading_keeps_its_skeleton(word, data):
