@@ -122,11 +122,11 @@ def flat_links(content: Column) -> Column:
 
 
 def human_bytes(n: Column) -> Column:
-    """Bytes in B, KB, MB (base 1024, one decimal)."""
+    """Bytes in B, KB, MB (base 1024, one decimal, a tie to the even digit)."""
     return (
         F.when(n < 1024, F.format_string("%d B", n))
-        .when(n < 1024 * 1024, F.format_string("%.1f KB", n / F.lit(1024.0)))
-        .otherwise(F.format_string("%.1f MB", n / F.lit(1024.0 * 1024.0)))
+        .when(n < 1024 * 1024, F.format_string("%.1f KB", F.bround(n / F.lit(1024.0), 1)))
+        .otherwise(F.format_string("%.1f MB", F.bround(n / F.lit(1024.0 * 1024.0), 1)))
     )
 
 

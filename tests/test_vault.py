@@ -184,7 +184,7 @@ def test_references(spark):
 def test_small_expressions(spark):
     one = spark.range(1)
     val = lambda e: one.select(e.alias("v")).first()["v"]
-    assert [val(X.human_bytes(F.lit(n))) for n in (5, 2048, 5 << 20)] == ["5 B", "2.0 KB", "5.0 MB"]
+    assert [val(X.human_bytes(F.lit(n))) for n in (5, 2048, 5 << 20, 9472, 9574)] == ["5 B", "2.0 KB", "5.0 MB", "9.2 KB", "9.3 KB"]
     assert val(X.message_line(F.lit("a\nb;`$(x)"))) == "a b(x)" and val(X.safe_ref(F.lit("HEAD~1;x"))) == "HEAD1x"
     assert val(X.trash_name(F.lit(dt.datetime(2025, 1, 2, 3, 4, 5)), F.lit("notes/a.md"))) == "2025-01-02T03-04-05Z_a.md"
     assert len(val(X.cache_key(F.lit("a")))) == 32 and val(X.png_name(F.lit("notes/a.b/c.jpg"))) == "notes/a.b/c.png"
