@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from marginalia.llm.mixing import mix_report, select_mix
 from marginalia.llm.neardup import found_pairs, near_groups
 from marginalia.llm.pages import found_noise, repaired_pages
 from marginalia.llm.residue import found_residue
 from marginalia.llm.tokens import with_ids
-from marginalia.llm.unify import found_disguises, unstable, with_canonical
+from marginalia.llm.unify import canonical_forms, found_disguises
 from marginalia.session import table
 
 
@@ -34,16 +33,18 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "notes"), "note_id", "content").withColumnRenamed("id", "note_id")
 
 
+def _p5_sources(spark: SparkSession, sf_dir: str) -> list[tuple[str, DataFrame, str, str]]:
+    return [("ref_pages", table(spark, sf_dir, "ref_pages"), "page_id", "text"), ("search_results", table(spark, sf_dir, "search_results"), "result_id", "snippet")]
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kinds of disguised characters in each page text and snippet."""
-    pages, hits = table(spark, sf_dir, "ref_pages"), table(spark, sf_dir, "search_results")
-    return found_disguises([("ref_pages", pages, "page_id", "text"), ("search_results", hits, "result_id", "snippet")])
+    return found_disguises(_p5_sources(spark, sf_dir))
 
 
 def p5_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The canonical form of every snippet that differs from its original."""
-    hits = table(spark, sf_dir, "search_results").select("result_id", "snippet").where(unstable(F.col("snippet")))
-    return with_canonical(hits, "snippet", "canonical").where("canonical <> snippet").select("result_id", "canonical").distinct()
+    """The canonical form of every page text and snippet that differs from its original."""
+    return canonical_forms(_p5_sources(spark, sf_dir))
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -179,17 +179,21 @@ def with_canonical(df: DataFrame, text: str, out: str) -> DataFrame:
     return df.withColumn(out, F.when(check, _unify(F.when(check, col))["text"]).otherwise(col)).drop("_unstable")
 
 
+def _unstable_rows(sources: list[tuple[str, DataFrame, str, str]]) -> DataFrame:
+    """tbl, row_id, _text of all records whose text doesn't pass the quick check."""
+    out = None
+    for name, rows, key, text in sources:
+        part = rows.select(F.lit(name).alias("tbl"), F.col(key).cast("bigint").alias("row_id"), F.col(text).alias("_text"))
+        out = part if out is None else out.unionByName(part)
+    return out.where(F.col("row_id").isNotNull() & unstable(F.col("_text")))
+
+
 def found_disguises(sources: list[tuple[str, DataFrame, str, str]]) -> DataFrame:
     """tbl, row_id, kind: one row per record and kind of disguise in it, each record once.
 
     sources lists (table name, rows, id column, text column). Only those columns are read. Texts that pass the quick
     check are filtered out before Python sees them.
     """
-    out = None
-    for name, rows, key, text in sources:
-        part = rows.select(F.lit(name).alias("tbl"), F.col(key).cast("bigint").alias("row_id"), F.col(text).alias("_text"))
-        out = part if out is None else out.unionByName(part)
-    out = out.where(F.col("row_id").isNotNull() & unstable(F.col("_text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unify = unifier()
@@ -198,4 +202,18 @@ def found_disguises(sources: list[tuple[str, DataFrame, str, str]]) -> DataFrame
             cols = zip(*got) if got else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string()))], ["tbl", "row_id", "kind"])
 
-    return out.mapInArrow(run, "tbl string, row_id bigint, kind string").distinct()
+    return _unstable_rows(sources).mapInArrow(run, "tbl string, row_id bigint, kind string").distinct()
+
+
+def canonical_forms(sources: list[tuple[str, DataFrame, str, str]]) -> DataFrame:
+    """tbl, row_id, canonical: the canonical form of every text that differs from it, each record once; sources as in
+    ``found_disguises``. A text that isn't listed is its own canonical form."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unify = unifier()
+        for batch in batches:
+            got = [(t, i, c) for t, i, x in zip(*(c.to_pylist() for c in batch.columns)) if (c := unify(x)[0]) != x]
+            cols = zip(*got) if got else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string()))], ["tbl", "row_id", "canonical"])
+
+    return _unstable_rows(sources).mapInArrow(run, "tbl string, row_id bigint, canonical string").distinct()

@@ -1,5 +1,6 @@
 import unicodedata
 
+from marginalia.llm import queries as Q
 from marginalia.llm.unify import STABLE, _properties, found_disguises, unifier, with_canonical
 
 CASES = {
@@ -35,3 +36,12 @@ def test_rows(spark):
     assert found_disguises([("p", df.limit(0), "page_id", "text")]).count() == 0
     same = {r["page_id"]: r["c"] for r in with_canonical(df, "text", "c").collect()}
     assert [same[i] for i in range(len(CASES))] == [w for w, _ in CASES.values()] and same[90] is None
+
+
+def test_pages_and_snippets_get_the_same_form(spark, tmp_path):
+    texts = [(i, t) for i, t in enumerate(CASES)] + [(90, None), (1, list(CASES)[1])]
+    spark.createDataFrame(texts, "page_id long, text string").write.parquet(str(tmp_path / "ref_pages.parquet"))
+    spark.createDataFrame(texts, "result_id long, snippet string").write.parquet(str(tmp_path / "search_results.parquet"))
+    got = [tuple(r) for r in Q.p5_canonical(spark, str(tmp_path)).select("tbl", "row_id", "canonical").collect()]
+    want = {(tbl, i, w) for tbl in ("ref_pages", "search_results") for i, (t, (w, _)) in enumerate(CASES.items()) if w != t}
+    assert len(got) == len(set(got)) and set(got) == want
