@@ -111,21 +111,25 @@ def _units(text: Column) -> Column:
     return F.filter(F.transform(F.split(plain, r"\n+|(?<=[.!?…])\s+"), F.trim), lambda u: u.rlike(r"[\p{L}\p{N}]"))
 
 
-def page_kinds(docs: DataFrame, longest: int = 600, least_docs: int = 3, share: float = 0.3) -> DataFrame:
-    """id, kind (``error`` or ``script``) of the documents (id, text) that are error pages or script notices.
+def page_kinds(docs: DataFrame, least_docs: int = 3, share: float = 0.3) -> DataFrame:
+    """id, kind (``error`` or ``script``) of the documents (id, text) that are error pages or script notices, of any length.
 
-    longest: characters of a page at most; least_docs and share: how many of a unit's documents, at least, must show
-    furniture for the unit to belong to whole-page templates.
+    least_docs and share: how many of a unit's documents, at least, must show furniture for the unit to belong to
+    whole-page templates.
     """
     furniture = lambda u: F.lower(u).rlike(FURNITURE)
     mask = lambda u: F.regexp_replace(F.lower(u), r"[0-9a-z]*\d[0-9a-z]*", "9")
-    work = docs.where(F.length("text") <= longest).select("id", _units(F.col("text")).alias("_u")).where(F.size("_u") > 0)
+    work = docs.select("id", _units(F.col("text")).alias("_u")).where(F.size("_u") > 0)
     work = work.withColumns({"_core": F.filter("_u", lambda u: ~furniture(u)), "_furnished": F.exists("_u", furniture)}).where(F.size("_core") > 0)
     units = work.select("_furnished", F.explode(F.array_distinct(F.transform("_core", mask))).alias("_m"))
     templates = units.groupBy("_m").agg(F.count(F.lit(1)).alias("_c"), F.count_if("_furnished").alias("_f")).where((F.col("_f") >= least_docs) & (F.col("_f") >= share * F.col("_c"))).select("_m", F.lit(True).alias("_page"))
-    each = work.select("id", F.explode("_core").alias("_v")).withColumn("_m", mask(F.col("_v"))).join(bounded(templates), "_m", "left")
+    templates = bounded(cut(templates))
     script, error = F.lower("_v").rlike(SCRIPT), F.lower("_v").rlike(ERROR)
-    judged = each.groupBy("id").agg(F.bool_and(F.coalesce("_page", F.lit(False)) | script | error).alias("_all"), F.bool_or(script).alias("_script"))
+    says = F.coalesce("_page", F.lit(False)) | script | error
+    # All units must hold, so the first one spares most texts the rest.
+    begun = work.select("id", "_core", F.get("_core", F.lit(0)).alias("_v")).withColumn("_m", mask(F.col("_v"))).join(templates, "_m", "left").where(says)
+    each = begun.select("id", F.explode("_core").alias("_v")).withColumn("_m", mask(F.col("_v"))).join(templates, "_m", "left")
+    judged = each.groupBy("id").agg(F.bool_and(says).alias("_all"), F.bool_or(script).alias("_script"))
     return judged.where("_all").select("id", F.when(F.col("_script"), "script").otherwise("error").alias("kind"))
 
 

@@ -39,3 +39,11 @@ def test_empty_and_very_long(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert found_residue(df, "doc_id", "text").count() == 0
     assert kinds(spark, ["text " * 50_000, "{{a}} " * 20_000 + PROSE, "a" * 300_000, r"\frac" + "{a}" * 30_000, "[" * 50_000]).get(0) == "filler"
+
+
+def test_pages_of_any_length(spark):
+    trace = "500 Internal Server Error\n" + "\n".join(f"Error 500: upstream {i} did not answer" for i in range(60))
+    notice = "Menu\nSearch\n" + "Please enable JavaScript to continue using this site.\n" * 40
+    menu = "\n".join(f"Home | part {i}" for i in range(90)) + "\nThe page you asked for could not be found."
+    long = [f"{PROSE} Paragraph {i}.\n" * 30 + "404 Not Found" for i in range(2)]
+    assert kinds(spark, [trace, notice, menu, *long]) == {0: "error", 1: "script", 2: "error"}
