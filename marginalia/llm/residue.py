@@ -4,7 +4,12 @@ Slots. Code (fences, back-ticks), formulas and lone quoted markers are masked ou
 template syntax, or a program's empty value) is keyed by the words around it, and records are aligned on that key: a
 context in which several documents carry different markers is an induced slot, whereas a word that always stands the same
 is plain text. A document is residue if a marker of it lies in an induced slot, or has a name that induced slots of the
-unmistakable syntaxes use. The same holds for an induced slot left blank.
+unmistakable syntaxes use.
+
+Blanks. Each induced slot's context is looked up in all records with nothing between its sides. A slot that its line or
+sentence ends or begins with must stand there in the same way, as a label with neither a value nor a list beneath it. If both
+halves of the joint also stand elsewhere in other words, the text reads on without a value and is no case. Slots without a
+letter around them, slots whose one side is only another slot, and a default that repeats in a slot are not looked up.
 
 Pages. A document is cut to units (lines and sentences) with numbers and codes masked. A unit that repeats over
 documents and there goes with the furniture of a site (menus, references, "try again later") belongs to a whole-page
@@ -69,8 +74,9 @@ def _masked(text: Column) -> Column:
 
 
 def slot_markers(docs: DataFrame) -> DataFrame:
-    """id, key, value, sort of every marker of documents (id, text): key its context, value the name or empty value in one
-    form, sort ``strong``, ``weak`` or ``empty``. Contexts are two words on each side, digits masked, in lower case."""
+    """id, key, value, sort, lead, tail of every marker of documents (id, text): key its context, value the name or empty value in
+    one form, sort ``strong``, ``weak`` or ``empty``; lead and tail tell whether the context begins or ends its line or
+    sentence. Contexts are two words on each side, digits masked, in lower case."""
     strong, weak, empty = "|".join(STRONG), "|".join(WEAK), "|".join(EMPTY_VALUES)
     any_marker = f"(?:{strong}|{weak}|{empty})"
     work = docs.where(F.col("text").rlike(any_marker)).select("id", _masked(F.col("text")).alias("_t"))
@@ -79,31 +85,76 @@ def slot_markers(docs: DataFrame) -> DataFrame:
     clean = lambda c: F.regexp_replace(F.lower(c), r"\d+", "9")
     squeeze = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
 
-    def before(c: Column) -> Column:
-        cut = F.regexp_replace(clean(F.right(c, F.lit(200))), r"(?s)^.*(?:[.!?…][\"”’)]*\s|\n)", "")
-        return squeeze(F.regexp_extract(cut, r"((?:[^\s]+\s*){0,2})$", 1))
+    def before(c: Column, first: Column) -> tuple[Column, Column]:
+        near = clean(F.right(c, F.lit(200)))
+        cut = F.regexp_replace(near, r"(?s)^.*(?:[.!?…][\"”’)]*\s|\n)", "")
+        words = squeeze(F.regexp_extract(cut, r"((?:[^\s]+\s*){0,2})$", 1))
+        return words, (squeeze(cut) == words) & ((cut != near) | near.rlike(r"\n$") | (first & (F.length(c) <= 200)))
+
+    def after(c: Column, last: Column) -> tuple[Column, Column]:
+        near = clean(F.left(c, F.lit(200)))
+        cut = F.regexp_extract(near, r"(?s)^(.*?)(?:[.!?…](?=\s|$)|\n|$)", 1)
+        words = squeeze(F.regexp_extract(cut, r"^(\s*(?:[^\s]+\s*){0,2})", 1))
+        return words, (squeeze(cut) == words) & (near.rlike(r"[.!?…]\s|\n") | (last & (F.length(c) <= 200)))
 
-    def after(c: Column) -> Column:
-        cut = F.regexp_extract(clean(F.left(c, F.lit(200))), r"(?s)^(.*?)(?:[.!?…](?=\s|$)|\n|$)", 1)
-        return squeeze(F.regexp_extract(cut, r"^(\s*(?:[^\s]+\s*){0,2})", 1))
+    def one(m: Column, i: Column) -> Column:
+        (left, lead), (right, tail) = before(F.get("_s", i), i == 0), after(F.get("_s", i + 1), i == F.size("_m") - 1)
+        return F.struct(m.alias("v"), left.alias("l"), right.alias("r"), lead.alias("lead"), tail.alias("tail"))
 
-    each = F.transform("_m", lambda m, i: F.struct(m.alias("v"), before(F.get("_s", i)).alias("l"), after(F.get("_s", i + 1)).alias("r")))
-    work = work.select("id", F.explode(each).alias("_e")).select("id", F.col("_e.v").alias("_v"), F.col("_e.l").alias("_l"), F.col("_e.r").alias("_r"))
+    each = F.transform("_m", one)
+    work = work.select("id", F.explode(each).alias("_e")).select("id", F.col("_e.v").alias("_v"), F.col("_e.l").alias("_l"), F.col("_e.r").alias("_r"), "_e.lead", "_e.tail")
     sort = F.when(F.col("_v").rlike(f"^(?:{strong})$"), "strong").when(F.col("_v").rlike(f"^(?:{empty})$"), "empty").otherwise("weak")
     name = F.regexp_replace(F.lower("_v"), r"^\W*(?:xx_)?|_xx\b|(?:_+)?\W*$", "")
     name = F.regexp_replace(F.regexp_replace(name, r"^(?:insert|your|enter|add)\s+|\s+(?:goes )?here$", ""), r"[_\-.\s]+", " ")
-    return work.select("id", F.concat_ws(" \u0003 ", "_l", "_r").alias("key"), F.when(sort == "empty", F.lower("_v")).otherwise(F.trim(name)).alias("value"), sort.alias("sort"))
+    return work.select("id", F.concat_ws(" \u0003 ", "_l", "_r").alias("key"), F.when(sort == "empty", F.lower("_v")).otherwise(F.trim(name)).alias("value"), sort.alias("sort"), "lead", "tail")
+
+
+def _tokens(text: Column) -> Column:
+    """Words and single signs of a text in lower case, digits masked; \u0005 between lines and sentences, \u0004 where a line goes on."""
+    text = F.regexp_replace(F.lower(text), r"\r\n?", "\n")
+    text = F.regexp_replace(text, r":[ \t]*\n\s*(?=(?:[-*+•|>]|\d+[.)])[ \t]+\S)", ": \u0004 \u0005 ")
+    text = F.regexp_replace(text, r"[ \t]*\n(?=[ \t]*[^\s#])(?![^\n:]{1,40}:(?:\s|$))(?![ \t]*(?:[-*+•|>]|\d+[.)])(?:\s|$))", " \u0004 \u0005 ")
+    text = F.regexp_replace(text, r"[.!?…]+[\"”’)]*(?:\s+|$)|\s*\n\s*", " \u0005 ")
+    return F.regexp_extract_all(F.regexp_replace(text, r"\d+", "9"), F.lit(r"([\p{L}\p{M}\p{N}_]+|[^\s\p{L}\p{M}\p{N}_])"), F.lit(1))
+
+
+def blank_slots(docs: DataFrame, slots: DataFrame) -> DataFrame:
+    """id of the documents (id, text) in which nothing stands in a slot of slots (key, lead, tail)."""
+    edge = F.array(F.lit("\u0005"))
+    side = lambda i: F.regexp_extract_all(F.get(F.split("key", " \u0003 ", -1), F.lit(i)), F.lit(r"([\p{L}\p{M}\p{N}_]+|[^\s\p{L}\p{M}\p{N}_])"), F.lit(1))
+    sides = slots.where(F.col("key").rlike(r"\p{L}")).select("key", "lead", "tail", side(0).alias("_l"), side(1).alias("_r"))
+    sides = sides.where(((F.size("_l") > 0) | F.col("tail")) & ((F.size("_r") > 0) | F.col("lead")) & ((F.size("_l") > 0) | F.col("lead")) & ((F.size("_r") > 0) | F.col("tail")))
+    sides = sides.withColumns({"_l": F.when(F.col("lead"), F.concat(edge, "_l")).otherwise(F.col("_l")), "_r": F.when(F.col("tail"), F.concat("_r", edge)).otherwise(F.col("_r"))})
+    sides = sides.where(F.size("_l") + F.size("_r") >= 3)
+    spell = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
+    at = lambda c, i: F.try_element_at(c, F.lit(i))
+    joints = cut(sides.select("key", at("_l", -2).alias("_l2"), at("_l", -1).alias("b"), at("_r", 1).alias("c"), at("_r", 2).alias("_r2"), spell(F.concat("_l", "_r")).alias("_whole")))
+    if joints.isEmpty():
+        return docs.select("id").limit(0)
+    texts = docs.select("id", F.concat(edge, _tokens(_masked(F.col("text"))), edge).alias("_t"))
+    # Four neighbouring tokens at a time, so that no row carries its whole text.
+    four = F.transform(F.sequence(F.lit(1), F.size("_t") - 1), lambda i: F.struct(F.get("_t", i - 2).alias("a"), F.get("_t", i - 1).alias("b"), F.get("_t", i).alias("c"), F.get("_t", i + 1).alias("d")))
+    met = texts.select("id", F.explode(four).alias("_f")).select("id", "_f.*").join(bounded(joints), ["b", "c"])
+    left, right = F.coalesce(F.col("a") == F.col("_l2"), F.col("_l2").isNull()), F.coalesce(F.col("d") == F.col("_r2"), F.col("_r2").isNull())
+    met = met.select("key", "_whole", "id", left.alias("_left"), right.alias("_right")).where("_left or _right").groupBy("key", "_whole", "id")
+    met = cut(met.agg(F.bool_or(F.col("_left") & F.col("_right")).alias("_both"), F.bool_or(F.col("_left") & ~F.col("_right")).alias("_only_left"), F.bool_or(F.col("_right") & ~F.col("_left")).alias("_only_right")))
+    plain = met.groupBy("key").agg(F.bool_or("_only_left").alias("_a"), F.bool_or("_only_right").alias("_b")).where("_a and _b").select("key")
+    maybe = met.where("_both").join(bounded(plain), "key", "left_anti").select("id", "_whole")
+    return texts.join(bounded(maybe), "id").where(F.contains(spell("_t"), F.col("_whole"))).select("id").distinct()
 
 
 def residue_slots(docs: DataFrame, least_docs: int = 2) -> DataFrame:
     """id of the documents (id, text) with an unfilled slot."""
     marks = slot_markers(docs).where(F.col("value") != "").where((F.col("sort") != "empty") | F.col("key").rlike(r"\p{L}"))
-    seen = marks.where("sort <> 'weak'").groupBy("key", "value").agg(F.count_distinct("id").alias("_d"), F.max((F.col("sort") == "strong").cast("int")).alias("_strong"))
-    slots = seen.groupBy("key").agg(F.sum("_d").alias("_docs"), F.count(F.lit(1)).alias("_values")).where((F.col("_docs") >= least_docs) & (F.col("_values") >= 2)).select("key", F.lit(True).alias("_slot"))
+    seen = marks.where("sort <> 'weak'").groupBy("key", "value").agg(F.count_distinct("id").alias("_d"), F.max((F.col("sort") == "strong").cast("int")).alias("_strong"), F.bool_and("lead").alias("lead"), F.bool_and("tail").alias("tail"))
+    slots = seen.groupBy("key").agg(F.sum("_d").alias("_docs"), F.count(F.lit(1)).alias("_values"), F.bool_and("lead").alias("lead"), F.bool_and("tail").alias("tail")).where((F.col("_docs") >= least_docs) & (F.col("_values") >= 2))
+    slots = cut(slots.select("key", F.lit(True).alias("_slot"), "lead", "tail"))
+    blank = blank_slots(docs, slots.select("key", "lead", "tail"))
+    slots = slots.select("key", "_slot")
     names = seen.where("_strong = 1").groupBy("value").agg(F.sum("_d").alias("_nd"), F.count(F.lit(1)).alias("_nk")).where((F.col("_nd") >= least_docs) & (F.col("_nk") >= 2)).select("value", F.lit(True).alias("_named"))
     judged = marks.join(bounded(slots), "key", "left").join(bounded(names), "value", "left")
     hit = F.when(F.col("sort") == "empty", F.col("_slot")).when(F.col("sort") == "strong", F.coalesce("_slot", "_named")).otherwise(F.col("_named"))
-    return judged.where(hit).select("id").distinct()
+    return judged.where(hit).select("id").unionByName(blank).distinct()
 
 
 def _units(text: Column) -> Column:

@@ -47,3 +47,12 @@ def test_pages_of_any_length(spark):
     menu = "\n".join(f"Home | part {i}" for i in range(90)) + "\nThe page you asked for could not be found."
     long = [f"{PROSE} Paragraph {i}.\n" * 30 + "404 Not Found" for i in range(2)]
     assert kinds(spark, [trace, notice, menu, *long]) == {0: "error", 1: "script", 2: "error"}
+
+
+def test_blank_slots(spark):
+    slots = [f"{PROSE} Written by {m} for the {w}. {PROSE}" for m, w in (("{{author}}", "river"), ("${owner}", "canal"))] + [f"# Log\n\nDate: {m}\nOwner: {n}\n\n{PROSE}" for m, n in (("<% date %>", "{{ owner }}"), ("@@NAME@@", "%%name%%"))]
+    slots += [f"By the {m} river was a mill. {PROSE}" for m in ("{{kind}}", "${sort}")]
+    blank = [f"{PROSE} Written by for the folder. {PROSE}", f"{PROSE}\nWritten by  for the river.", "# Log\n\nDate:\nOwner: Ada\n\n" + PROSE, f"# Log\r\n\r\nDate: \r\n\r\n{PROSE}"]
+    fine = [f"{PROSE} Written by Ada for the river.", f"# Log\n\nDate: 3 May\nOwner:\n- Ada\n- Bo\n\n{PROSE}", f"By the river was a mill. {PROSE}", f"By the river stood a lamp. {PROSE}", f"Then the river was calm. {PROSE}",
+            f"It asked for the date:\nnobody had one. {PROSE}", f"It was overwritten by for the river. {PROSE}", f"I saw `Written by for the river.` there. {PROSE}"]
+    assert kinds(spark, [*slots, *blank, *fine]) == dict.fromkeys(range(len(slots) + len(blank)), "placeholder")
