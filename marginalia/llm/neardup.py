@@ -73,13 +73,17 @@ def _compare(num: int, den: int):
 
     def block(ids, n, pop, words, blk, lo, hi, mixed):  # noqa: ANN001, ANN202
         """All tile pairs of the rows lo..hi of one block, sorted by population count."""
+        most = np.maximum.reduceat(n[lo:hi], np.arange(0, hi - lo, TILE))
+        rest = np.maximum.accumulate(most[::-1])[::-1]
         for i in range(lo, hi, TILE):
             i_end = min(i + TILE, hi)
             for j in range(i, hi, TILE):
                 j_end = min(j + TILE, hi)
-                reach = int(radius(np.int64(n[i:i_end].max()) + np.int64(n[j:j_end].max())))
-                if pop[j] - pop[i_end - 1] > reach:
-                    break  # sorted: later tiles are farther still
+                gap, x, y = pop[j] - pop[i_end - 1], (i - lo) // TILE, (j - lo) // TILE
+                if gap > radius(most[x] + rest[y]):
+                    break  # sorted: later tiles are farther still, and none of them has larger sets
+                if gap > radius(most[x] + most[y]):
+                    continue
                 a, b = (x.ravel() for x in np.meshgrid(np.arange(i, i_end), np.arange(j, j_end), indexing="ij"))
                 keep = a < b
                 if mixed:

@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from marginalia.llm import neardup
@@ -69,3 +71,12 @@ def test_groups(spark):
         parent[b] = a
     got = {r["id"]: r["group_id"] for r in neardup.near_groups(spark.createDataFrame(rows, "note_id long, content string"), "note_id", "content").collect()}
     assert got == {x: root(x) for x in parent}
+
+
+def test_a_later_tile_of_larger_sets_is_reached(monkeypatch):
+    monkeypatch.setattr(neardup, "TILE", 1)
+    n, pop = [100, 50, 130], [20, 48, 50]  # the second is too far from the first, the third is larger and near enough
+    bits = [np.packbits(np.arange(neardup.BITS) < p).tobytes() for p in pop]
+    batch = pa.RecordBatch.from_pydict({"run": [1] * 3, "bi": [0] * 3, "bj": [0] * 3, "id": [1, 2, 3], "n": n, "pop": pop, "blk": [0] * 3, "bits": bits})
+    got = [p for b in neardup._compare(7, 10)([batch]) for p in zip(*(c.to_pylist() for c in b.columns))]
+    assert got == [(1, 3)]
