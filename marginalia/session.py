@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows a side may have at most before it is broadcast; beyond it the planner shuffles.
 BROADCAST_ROWS = 200_000
+#: Bytes such a side may have at most as written (columnar, compressed).
+BROADCAST_BYTES = 8 << 20
 
 
 _SHIPPED: set[str] = set()
@@ -40,28 +43,52 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most max_rows rows, else df as it is (a shuffled join follows).
+def _files(df: DataFrame) -> tuple[object, object]:
+    """The Hadoop file system and path of a folder that ``cut`` wrote."""
+    jvm = df.sparkSession._jvm
+    path = jvm.org.apache.hadoop.fs.Path(df._cut_folder)
+    return path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()), path
 
-    The count stops after max_rows + 1 rows, so the test itself stays small.
+
+def bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """df, written and read back, with a broadcast hint if it has at most max_rows rows and max_bytes bytes as written; else
+    a hint for a sorted merge, so that no estimate makes a broadcast of it.
+
+    The table is written once; rows are counted from the files' footers, so its plan doesn't run a second time.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    kept = df if hasattr(df, "_cut_folder") else cut(df)
+    fs, path = _files(kept)
+    small = fs.getContentSummary(path).getLength() <= max_bytes and kept.count() <= max_rows
+    return F.broadcast(kept) if small else kept.hint("merge")
+
+
+def _is_local(master: str) -> bool:
+    """Whether all tasks run in the driver's own process."""
+    return master == "local" or master.startswith("local[")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keeps the folder the cluster names in spark.checkpoint.dir; sets a temporary one only in local runs without it."""
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The application's folder within the one the cluster names in spark.checkpoint.dir; a temporary one only where that is
+    unset and all tasks run in the driver's own process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
-        if named is None and not spark.sparkContext.master.startswith("local"):
+        if named is None and not _is_local(spark.sparkContext.master):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="marginalia-"))
+    return jsc.getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder and read back, so that later steps don't recompute it."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df written to the shared checkpoint folder as Parquet and read back: later steps don't recompute it, read only the
+    columns they need, and the planner knows its real size. The files go when the application ends."""
+    folder = f"{ensure_checkpoint_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    out = df.sparkSession.read.schema(df.schema).parquet(folder)
+    out._cut_folder = folder
+    fs, path = _files(out)
+    fs.deleteOnExit(path)
+    return out
 
 
 def utc_date(df: DataFrame, name: str) -> Column:
