@@ -1,17 +1,24 @@
 """Groups of records that say nearly the same, without comparing every record with every other.
 
-1. A text becomes the set of its distinct runs of k words (64-bit hashes). Records with the same set form one class and
-   only a representative goes on, so any number of exact copies costs no comparison.
+1. A text becomes its sequence of lower-cased words. Records with the same sequence form one class, which goes on as one
+   set of distinct runs of k words (64-bit hashes), so any number of copies costs no comparison.
 2. Exact blocking: with a similarity of t or more two sets of n and m runs share a run among the n - ceil(t n) + 1 and
    m - ceil(t m) + 1 rarest of each (any fixed order gives no false dismissal; the rarest first gives small blocks). Runs
    that only one set holds are left out.
 3. Tiled comparison inside a block: each set has a parity bitmap (a run flips one bit), so the bits in which two bitmaps
    differ are at most the runs in which the sets differ. Blocks are sorted by population count and cut into tiles; tile
    pairs whose population counts differ beyond the radius are skipped, the others go through numpy's exclusive-or and
-   bit count. Blocks beyond a size are cut over tasks by pairs of sub-blocks, so a hot block isn't one task's work.
-4. What stays is compared exactly, set against set.
+   bit count. Blocks are counted with map-side sums first; those beyond a size are cut over tasks by pairs of
+   sub-blocks before they are shuffled, so a hot block is never one task's work.
+4. What stays is compared exactly, set against set; only the sets that a pair needs are moved.
+5. Members of two similar classes, or of one, are paired by sub-blocks of bounded size, so neither is a large class one
+   task's work.
 
-Nothing is sampled or capped. A 64-bit hash may in principle collide (some 1e-4 expected over 1e8 distinct runs).
+Joins that move sets are sorted merges by hint, never broadcasts. Nothing is sampled or capped. A 64-bit hash may in
+principle collide (some 1e-4 expected over 1e8 distinct runs).
+
+Null, empty and short texts (fewer than k words) take no part, nor do records without id. A record that arrives again counts
+once; an id that arrives with different contents counts with one of them, always the same. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,19 +31,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from marginalia.session import cut
+from marginalia.session import bounded, cut
 
 BITS = 512
 TILE = 128
 HOT_BLOCK = 4096
+#: Members of a class that are paired by one row.
+CLASS_BLOCK = 256
+
 
+def word_texts(df: DataFrame, key: str, text: str, k: int) -> DataFrame:
+    """id, cid, words of the records whose text has at least k words: the words in one string, cid its hash, the class."""
+    words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+    rows = df.select(F.col(key).cast("bigint").alias("id"), words.alias("_w")).where(F.col("id").isNotNull() & (F.size("_w") >= k))
+    rows = rows.select("id", F.array_join("_w", " ").alias("words"))
+    return rows.select("id", F.xxhash64("words").alias("cid"), "words")
 
-def run_sets(df: DataFrame, key: str, text: str, k: int) -> DataFrame:
-    """id, runs of the records whose text has at least one run of k words."""
-    words = df.select(F.col(key).cast("bigint").alias("id"), F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)).alias("_w"))
-    words = words.where(F.col("id").isNotNull() & (F.size("_w") >= k))
+
+def run_sets(classes: DataFrame, k: int) -> DataFrame:
+    """cid, runs, n, pop, bits of each class (cid, words), once: its distinct runs, their number, bitmap and its bit count."""
+    one = classes.groupBy("cid").agg(F.first("words").alias("words")).withColumn("_w", F.split("words", " "))
     runs = F.transform(F.sequence(F.lit(1), F.size("_w") - (k - 1)), lambda i: F.xxhash64(*[F.element_at("_w", i + j) for j in range(k)]))
-    return words.select("id", F.array_sort(F.array_distinct(runs)).alias("runs"))
+    return one.select("cid", F.array_sort(F.array_distinct(runs)).alias("runs")).mapInArrow(_bitmaps, "cid bigint, runs array<bigint>, n int, pop int, bits binary")
 
 
 def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,7 +66,7 @@ def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             packed = np.packbits(parity, axis=1)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(sizes.astype(np.int32)), pa.array(parity.sum(axis=1).astype(np.int32)), pa.array([x.tobytes() for x in packed], pa.binary())],
-                ["id", "runs", "n", "pop", "bits"],
+                ["cid", "runs", "n", "pop", "bits"],
             )
 
 
@@ -127,7 +143,7 @@ def _compare(num: int, den: int):
             c = {x: batch.column(i) for i, x in enumerate(batch.schema.names)}
             key = np.stack([c["run"].to_numpy(), c["bi"].to_numpy().astype(np.int64), c["bj"].to_numpy().astype(np.int64)], axis=1)
             words = np.frombuffer(b"".join(c["bits"].to_pylist()), np.uint64).reshape(-1, BITS // 64)
-            rows = (key, c["id"].to_numpy(), c["n"].to_numpy().astype(np.int64), c["pop"].to_numpy().astype(np.int64), c["blk"].to_numpy(), key[:, 1] != key[:, 2], words)
+            rows = (key, c["cid"].to_numpy(), c["n"].to_numpy().astype(np.int64), c["pop"].to_numpy().astype(np.int64), c["blk"].to_numpy(), key[:, 1] != key[:, 2], words)
             # The last block may go on in the next batch: hold it back.
             same = np.all(key == key[-1], axis=1)
             begin = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
@@ -146,79 +162,88 @@ def _compare(num: int, den: int):
     return run
 
 
-def similar_classes(sets: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """Of records (id, runs): the classes of equal sets as (id, rep), and the pairs (a, b) of representatives with
-    similarity of at least num/den, a < b, exactly compared."""
-    keyed = sets.withColumns({"_k": F.xxhash64("runs"), "_l": F.xxhash64(F.reverse("runs")), "_n": F.size("runs")})
-    keyed = cut(keyed)
-    classes = keyed.groupBy("_k", "_l", "_n").agg(F.min("id").alias("rep"))
-    members = keyed.select("id", "_k", "_l", "_n").join(classes, ["_k", "_l", "_n"]).select("id", "rep").distinct()
-    reps = keyed.join(classes.select("_k", "_l", "_n", F.col("rep").alias("id")), ["_k", "_l", "_n", "id"], "left_semi").select("id", "runs").dropDuplicates(["id"])
-    reps = cut(reps.mapInArrow(_bitmaps, "id bigint, runs array<bigint>, n int, pop int, bits binary"))
+def similar_classes(df: DataFrame, key: str, text: str, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """The class of every record that takes part, as (id, cid), and the pairs (a, b) of classes with similarity of at least
+    num/den, a < b, exactly compared. Both are written."""
+    texts = cut(word_texts(df, key, text, k))
+    members = cut(texts.groupBy("id").agg(F.min("cid").alias("cid")))
+    sets = cut(run_sets(texts.select("cid", "words"), k))
 
-    postings = reps.select("id", "n", F.explode("runs").alias("run"))
+    postings = sets.select("cid", F.explode("runs").alias("run"))
     held = postings.groupBy("run").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    ranked = postings.join(held, "run").groupBy("id").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "run"))).alias("ranked"))
+    ranked = postings.join(held.hint("merge"), "run").groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("df", "run"))).alias("ranked"))
+    headed = ranked.join(sets.select("cid", "n", "pop", "bits").hint("merge"), "cid")
     length = F.col("n") - F.floor((F.lit(num) * F.col("n") + (den - 1)) / F.lit(den)).cast("int") + 1 - (F.col("n") - F.size("ranked"))
-    heads = ranked.where(length > 0).join(reps.select("id", "pop", "bits"), "id").select("id", "n", "pop", "bits", F.explode(F.slice("ranked", F.lit(1), length)).alias("_h"))
-    # One shuffle by run: the window that counts a block leaves it in one partition, sorted by population count.
-    block = W.partitionBy("run").orderBy("pop").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    blocks = heads.select(F.col("_h.run").alias("run"), "id", "n", "pop", "bits").withColumn("_c", F.count(F.lit(1)).over(block)).where("_c > 1")
-    compare, schema, zero = _compare(num, den), "a bigint, b bigint", F.lit(0)
-    usual = blocks.where(F.col("_c") <= HOT_BLOCK).select("run", zero.alias("bi"), zero.alias("bj"), "id", "n", "pop", zero.alias("blk"), "bits")
-    hot = blocks.where(F.col("_c") > HOT_BLOCK).withColumn("_p", F.ceil(F.col("_c") / F.lit(HOT_BLOCK)).cast("int")).withColumn("blk", F.pmod(F.xxhash64("id"), F.col("_p")).cast("int"))
-    hot = hot.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_p") - 1)))
-    hot = hot.select("run", F.least("blk", "_o").alias("bi"), F.greatest("blk", "_o").alias("bj"), "id", "n", "pop", "blk", "bits")
-    hot = hot.repartition("run", "bi", "bj").sortWithinPartitions("run", "bi", "bj", "pop")
-    pairs = usual.mapInArrow(compare, schema).unionByName(hot.mapInArrow(compare, schema)).distinct()
-
-    left, right = reps.select(F.col("id").alias("a"), F.col("runs").alias("_ra")), reps.select(F.col("id").alias("b"), F.col("runs").alias("_rb"))
-    exact = pairs.join(left, "a").join(right, "b").withColumn("_i", F.size(F.array_intersect("_ra", "_rb")))
-    exact = exact.where(F.col("_i") * (num + den) >= F.lit(num) * (F.size("_ra") + F.size("_rb"))).select("a", "b")
-    return members, exact
+    headed = cut(headed.where(length > 0).select("cid", "n", "pop", "bits", F.transform(F.slice("ranked", F.lit(1), length), lambda r: r["run"]).alias("heads")))
+
+    counts = headed.select(F.explode("heads").alias("run")).groupBy("run").agg(F.count(F.lit(1)).alias("_c"))
+    hot = bounded(counts.where(F.col("_c") > HOT_BLOCK).select("run", F.ceil(F.col("_c") / F.lit(HOT_BLOCK)).cast("int").alias("_p")))
+    blocks = headed.select("cid", "n", "pop", "bits", F.explode("heads").alias("run")).join(hot, "run", "left")
+    blocks = blocks.withColumn("blk", F.coalesce(F.pmod(F.xxhash64("cid"), F.col("_p")), F.lit(0)).cast("int"))
+    blocks = blocks.withColumn("_o", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_p") - 1, F.lit(0)))))
+    blocks = blocks.select("run", F.least("blk", "_o").alias("bi"), F.greatest("blk", "_o").alias("bj"), "cid", "n", "pop", "blk", "bits")
+    blocks = blocks.repartition("run", "bi", "bj").sortWithinPartitions("run", "bi", "bj", "pop")
+    pairs = cut(blocks.mapInArrow(_compare(num, den), "a bigint, b bigint").distinct())
+
+    # Each pair asks for its two sets; one shuffle brings them together.
+    asks = pairs.select("a", "b", F.explode(F.array(F.struct(F.col("a").alias("cid"), F.lit(0).alias("side")), F.struct(F.col("b").alias("cid"), F.lit(1).alias("side")))).alias("_s")).select("a", "b", "_s.cid", "_s.side")
+    both = sets.select("cid", "runs").join(asks, "cid").groupBy("a", "b")
+    both = both.agg(*[F.first(F.when(F.col("side") == i, F.col("runs")), ignorenulls=True).alias(x) for i, x in ((0, "_ra"), (1, "_rb"))])
+    same = F.size(F.array_intersect("_ra", "_rb"))
+    return members, cut(both.where(same * (num + den) >= F.lit(num) * (F.size("_ra") + F.size("_rb"))).select("a", "b"))
+
+
+def _sub_blocks(members: DataFrame) -> DataFrame:
+    """cid, blk, p, ids: the members of each class in p sub-blocks of some CLASS_BLOCK ids."""
+    counts = members.groupBy("cid").agg(F.count(F.lit(1)).alias("_c"))
+    large = bounded(counts.where(F.col("_c") > CLASS_BLOCK).select("cid", F.ceil(F.col("_c") / F.lit(CLASS_BLOCK)).cast("int").alias("_p")))
+    rows = members.join(large, "cid", "left").withColumn("p", F.coalesce("_p", F.lit(1)))
+    return rows.groupBy("cid", F.pmod(F.xxhash64("id"), F.col("p")).cast("int").alias("blk"), "p").agg(F.collect_list("id").alias("ids"))
 
 
 def found_pairs(df: DataFrame, key: str, text: str, k: int = 3, num: int = 7, den: int = 10) -> DataFrame:
     """(note_id_a, note_id_b): all pairs of different records with similarity of at least num/den, smaller id first.
 
-    Similarity: intersection over union of the sets of distinct runs of k words. Null, empty and short texts take no
-    part; a record that arrives again counts once; only key and text are read.
+    Similarity: intersection over union of the sets of distinct runs of k words. Only key and text are read.
+    """
+    members, exact = similar_classes(df, key, text, k, num, den)
+    blocks = cut(_sub_blocks(members))
+    one = blocks.select(F.col("cid").alias("a"), F.col("ids").alias("_xs"))
+    two = blocks.select(F.col("cid").alias("b"), F.col("ids").alias("_ys"))
+    across = exact.join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("_xs", "_ys", F.lit(False).alias("_same"))
+    inner = blocks.where((F.size("ids") > 1) | (F.col("p") > 1)).select("cid", F.col("ids").alias("_xs"), F.col("blk").alias("_bi"), F.explode(F.sequence("blk", F.col("p") - 1)).alias("blk"))
+    inner = inner.join(blocks.select("cid", "blk", F.col("ids").alias("_ys")).hint("merge"), ["cid", "blk"]).select("_xs", "_ys", (F.col("_bi") == F.col("blk")).alias("_same"))
+    pairs = across.unionByName(inner).select(F.explode("_xs").alias("_x"), "_ys", "_same").select("_x", F.explode("_ys").alias("_y"), "_same")
+    return pairs.where(~F.col("_same") | (F.col("_x") < F.col("_y"))).select(F.least("_x", "_y").alias("note_id_a"), F.greatest("_x", "_y").alias("note_id_b"))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(id, root): the least vertex of each vertex's component, of edges (a, b).
+
+    Two steps in turn until no edge changes: every vertex links its larger neighbours to the least vertex it knows, then
+    its smaller ones and itself. Components shrink to stars in logarithmically many rounds, whatever the shape of
+    the graph, so there is no limit on rounds; the number of edges never grows. Each round's edges are written.
     """
-    members, exact = similar_classes(run_sets(df, key, text, k), num, den)
-    members, exact = cut(members), cut(exact)
-    one = members.select(F.col("rep").alias("a"), F.col("id").alias("_x"))
-    two = members.select(F.col("rep").alias("b"), F.col("id").alias("_y"))
-    across = exact.join(one, "a").join(two, "b").select("_x", "_y")
-    within = one.join(two, one["a"] == two["b"]).where("_x < _y").select("_x", "_y")
-    both = across.unionByName(within).where("_x <> _y")
-    return both.select(F.least("_x", "_y").alias("note_id_a"), F.greatest("_x", "_y").alias("note_id_b")).distinct()
-
-
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """(id, root): the least id of each vertex's component, of edges (a, b). Least labels are spread to neighbours, then
-    labels are followed one step, until nothing changes; each round's labels are written and read back."""
-    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy("a").agg(F.least(F.min("b"), F.min("a")).alias("root")).withColumnRenamed("a", "id"))
-    for _ in range(rounds):
-        spread = both.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("root").alias("_m"))
-        nxt = labels.join(spread, F.col("id") == F.col("a"), "left").select("id", "root", F.least("root", F.coalesce("_m", "root")).alias("_r"))
-        jump = labels.select(F.col("id").alias("_j"), F.col("root").alias("_jr"))
-        nxt = cut(nxt.join(jump, F.col("_r") == F.col("_j"), "left").select("id", F.least("_r", F.coalesce("_jr", "_r")).alias("_new"), "root"))
-        changed = nxt.where("_new <> root").limit(1).count()
-        labels = nxt.select("id", F.col("_new").alias("root"))
-        if not changed:
-            break
-    else:
-        raise RuntimeError("labels did not settle")
-    return labels
+    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
+    edges, before = cut(edges), None
+    digest = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())
+    while before != (now := digest(edges)):
+        before = now
+        both = edges.select(F.explode(F.array(F.struct(F.col("hi").alias("u"), F.col("lo").alias("v")), F.struct(F.col("lo").alias("u"), F.col("hi").alias("v")))).alias("_e")).select("_e.u", "_e.v")
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = cut(both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct())
+        least = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        small = large.join(least, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+        edges = cut(small.unionByName(least.select("hi", F.col("m").alias("lo"))).distinct())
+    return edges.select(F.col("hi").alias("id"), F.col("lo").alias("root")).unionByName(edges.select(F.col("lo").alias("id"), F.col("lo").alias("root")).distinct())
 
 
 def near_groups(df: DataFrame, key: str, text: str, k: int = 3, num: int = 7, den: int = 10) -> DataFrame:
     """(id, group_id, links): one row per record with a run of k words; group_id is the least id that it is linked to over
     any number of steps, links the number of other classes that its own class is directly linked to."""
-    members, exact = similar_classes(run_sets(df, key, text, k), num, den)
-    members, exact = cut(members), cut(exact)
-    roots = components(exact)
-    degree = exact.select(F.explode(F.array("a", "b")).alias("_d")).groupBy("_d").agg(F.count(F.lit(1)).alias("links"))
-    out = members.join(roots.withColumnRenamed("id", "_v"), F.col("rep") == F.col("_v"), "left").join(degree, F.col("rep") == F.col("_d"), "left")
-    return out.select("id", F.coalesce("root", "rep").alias("group_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
+    members, exact = similar_classes(df, key, text, k, num, den)
+    roots = components(exact).withColumnRenamed("id", "cid")
+    degree = exact.select(F.explode(F.array("a", "b")).alias("cid")).groupBy("cid").agg(F.count(F.lit(1)).alias("links"))
+    out = cut(members.join(roots, "cid", "left").join(degree, "cid", "left").select("id", F.coalesce("root", "cid").alias("root"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links")))
+    named = out.groupBy("root").agg(F.min("id").alias("group_id"))
+    return out.join(named, "root").select("id", "group_id", "links")

@@ -40,6 +40,7 @@ def test_equals_brute_force(spark, monkeypatch, seed, small):
     if small:  # every block cut into tiles and over tasks
         monkeypatch.setattr(neardup, "TILE", 3)
         monkeypatch.setattr(neardup, "HOT_BLOCK", 4)
+        monkeypatch.setattr(neardup, "CLASS_BLOCK", 3)
     rows = corpus(seed)
     got = neardup.found_pairs(spark.createDataFrame(rows, "note_id long, content string"), "note_id", "content")
     assert {tuple(r) for r in got.collect()} == brute(rows)
@@ -77,6 +78,32 @@ def test_a_later_tile_of_larger_sets_is_reached(monkeypatch):
     monkeypatch.setattr(neardup, "TILE", 1)
     n, pop = [100, 50, 130], [20, 48, 50]  # the second is too far from the first, the third is larger and near enough
     bits = [np.packbits(np.arange(neardup.BITS) < p).tobytes() for p in pop]
-    batch = pa.RecordBatch.from_pydict({"run": [1] * 3, "bi": [0] * 3, "bj": [0] * 3, "id": [1, 2, 3], "n": n, "pop": pop, "blk": [0] * 3, "bits": bits})
+    batch = pa.RecordBatch.from_pydict({"run": [1] * 3, "bi": [0] * 3, "bj": [0] * 3, "cid": [1, 2, 3], "n": n, "pop": pop, "blk": [0] * 3, "bits": bits})
     got = [p for b in neardup._compare(7, 10)([batch]) for p in zip(*(c.to_pylist() for c in b.columns))]
     assert got == [(1, 3)]
+
+
+def test_a_large_class_of_copies(spark):
+    copies = spark.range(20_000).selectExpr("id note_id", "'one and the same text' content")
+    other = spark.createDataFrame([(30_000, "one and the same text here")], "note_id long, content string")
+    df = copies.unionByName(other)
+    got = neardup.near_groups(df, "note_id", "content", num=1, den=2)
+    assert [tuple(r) for r in got.groupBy("group_id", "links").count().collect()] == [(0, 1, 20_001)]
+    pairs = neardup.found_pairs(df.where("note_id % 20 = 0"), "note_id", "content")
+    assert pairs.count() == pairs.distinct().count() == 1001 * 1000 // 2  # the longer text is similar enough
+
+
+def test_components_of_a_long_shuffled_path(spark):
+    ids = list(range(10_000))
+    random.Random(3).shuffle(ids)
+    path = spark.createDataFrame(list(zip(ids, ids[1:])) + [(20_001, 20_000), (20_000, 20_002), (20_001, 20_001)], "a long, b long")
+    got = {r["id"]: r["root"] for r in neardup.components(path).collect()}
+    assert got == {x: 0 for x in ids} | {x: 20_000 for x in (20_000, 20_001, 20_002)}
+    assert neardup.components(path.limit(0)).count() == 0
+
+
+def test_no_broadcast_of_sets(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    df = spark.createDataFrame(corpus(4), "note_id long, content string")
+    plan = neardup.found_pairs(df, "note_id", "content")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
