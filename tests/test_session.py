@@ -8,7 +8,7 @@ def test_cut_keeps_rows_types_and_real_size(spark):
     got = session.cut(df)
     assert got.dtypes == df.dtypes
     assert sorted(map(str, got.collect())) == sorted(map(str, df.collect()))
-    size = got._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue()
+    size = int(str(got._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     fs, path = session._files(got)
     assert size == pytest.approx(fs.getContentSummary(path).getLength(), rel=0.2)
     assert session.cut(df.limit(0)).count() == 0
