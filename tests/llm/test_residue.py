@@ -56,3 +56,29 @@ def test_blank_slots(spark):
     fine = [f"{PROSE} Written by Ada for the river.", f"# Log\n\nDate: 3 May\nOwner:\n- Ada\n- Bo\n\n{PROSE}", f"By the river was a mill. {PROSE}", f"By the river stood a lamp. {PROSE}", f"Then the river was calm. {PROSE}",
             f"It asked for the date:\nnobody had one. {PROSE}", f"It was overwritten by for the river. {PROSE}", f"I saw `Written by for the river.` there. {PROSE}"]
     assert kinds(spark, [*slots, *blank, *fine]) == dict.fromkeys(range(len(slots) + len(blank)), "placeholder")
+
+
+def test_slots_of_a_filled_template(spark):
+    letter = lambda x, y: f"{PROSE} Dear {x}, thank you for the {y}. {PROSE}"
+    kept = [letter(x, y) for x, y in (("", "lamp"), ("______", "hammer"), ("FIRSTNAME", "river"), ("{{first_name}}", "folder"), ("First name", "mill"))]
+    filled = [letter(x, y) for x, y in (("Ada", "lamp"), ("Bo", "canal"), ("Cyra", "heron"), ("Dov", "river"), ("Ed Eliot", "mill"))]
+    assert kinds(spark, [*kept, *filled]) == dict.fromkeys(range(len(kept)), "placeholder")
+    # Without the variable's name a blank before a comma and a rule still stand in a slot that others fill.
+    assert kinds(spark, [*kept[:2], *filled]) == {0: "placeholder", 1: "placeholder"}
+    assert kinds(spark, filled) == {}
+
+
+def test_whole_pages_in_any_language(spark):
+    pages = [f"404 Nie ma takiej strony\nZdarzenie {i}f{i * 7}\nWróć na początek" for i in range(6)]
+    notes = [f"Spotkanie {i}\nNotatki\nWróć na początek" for i in range(6)] + ["404 lamps were counted along the canal."]
+    assert kinds(spark, [*pages, *notes]) == dict.fromkeys(range(6), "error")
+
+
+def test_one_long_page(spark):
+    page = "Menu\nSearch\n404 Not Found\n" + "\n".join(f"Reference: {i:x}f{i}" for i in range(60))
+    assert len(page) > 700 and kinds(spark, [page, PROSE]) == {0: "error"}
+
+
+def test_a_long_sentence_over_and_over(spark):
+    text = "This is where the words of the customer will stand one day. "
+    assert kinds(spark, [text * 3, text * 2 + PROSE, PROSE]) == {0: "filler"}
