@@ -27,14 +27,19 @@ class EditError(ValueError):
     """An edit that can't be made; nothing of its batch is."""
 
 
+def path_events(versions: DataFrame) -> DataFrame:
+    """path, seq, live, content: what each version leaves of each path it touches. A move ends one path and begins another;
+    its row carries the content."""
+    ends = versions.where("op = 'move'").select("path", "seq", F.lit(False).alias("live"), F.lit(None).cast("string").alias("content"))
+    rows = versions.where("op <> 'move'").select("path", "seq", (F.col("op") != "delete").alias("live"), "content")
+    begins = versions.where("op = 'move'").select(F.col("new_path").alias("path"), "seq", F.lit(True).alias("live"), "content")
+    return rows.unionByName(ends).unionByName(begins)
+
+
 def state(versions: DataFrame, upto: int | None = None) -> DataFrame:
     """path, content, seq: the live files after all versions, or those up to a number."""
     v = versions if upto is None else versions.where(F.col("seq") <= upto)
-    # A move ends one path and begins another; its row carries the content.
-    ends = v.where("op = 'move'").select("path", "seq", F.lit(False).alias("live"), F.lit(None).cast("string").alias("content"))
-    rows = v.where("op <> 'move'").select("path", "seq", (F.col("op") != "delete").alias("live"), "content")
-    begins = v.where("op = 'move'").select(F.col("new_path").alias("path"), "seq", F.lit(True).alias("live"), "content")
-    last = rows.unionByName(ends).unionByName(begins).groupBy("path").agg(F.max(F.struct("seq", "live", "content")).alias("l"))
+    last = path_events(v).groupBy("path").agg(F.max(F.struct("seq", "live", "content")).alias("l"))
     return last.where("l.live").select("path", F.col("l.content").alias("content"), F.col("l.seq").alias("seq"))
 
 
@@ -141,10 +146,11 @@ def update(versions: DataFrame, path: str, content: str, now: dt.datetime, mode:
     return _version(versions.sparkSession, versions, [("update", path, None, f"{old}\n{content}" if mode == "append" else content, f"Update {path}")], now)
 
 
-def delete(versions: DataFrame, path: str, now: dt.datetime) -> DataFrame:
-    """A tombstone; the message names the file's place in the trash."""
+def delete(versions: DataFrame, path: str, now: dt.datetime, others: DataFrame | None = None) -> DataFrame:
+    """A tombstone; the message names the file's place in the trash. others (path): files without versions, such as attachments,
+    that can be deleted as well."""
     old = _content(versions, path)
-    if old is None:
+    if old is None and (others is None or others.where(F.col("path") == path).isEmpty()):
         raise EditError(f"no such file: {path}")
     trash = f"{now:%Y-%m-%dT%H-%M-%SZ}_{path.rsplit('/', 1)[-1]}"
     return _version(versions.sparkSession, versions, [("delete", path, None, old, f"Delete {path} to {trash}")], now)
@@ -171,11 +177,13 @@ def revert(versions: DataFrame, path: str, seq: int, now: dt.datetime) -> DataFr
 
 
 def snapshot(versions: DataFrame, files: DataFrame, now: dt.datetime) -> DataFrame:
-    """Version rows that bring the recorded state to files (path, content)."""
+    """Version rows that bring the recorded state to files (path, content), numbered in ranges of paths' hashes."""
+    from marginalia.operators.edits import numbered
+
     base = versions.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("_b"))
-    diff = dirty(versions, files).join(files.select("path", "content"), "path", "left")
-    rows = diff.withColumn("_i", F.row_number().over(W.partitionBy(F.lit(1)).orderBy("path"))).join(F.broadcast(base))
-    return rows.select((F.col("_b") + F.col("_i")).cast("bigint").alias("seq"), F.lit(now).cast("timestamp").alias("ts"), F.when(F.col("change") == "removed", "delete").otherwise("snapshot").alias("op"), "path", F.lit(None).cast("string").alias("new_path"), "content", F.concat(F.lit("Snapshot "), "change").alias("message"))
+    diff = dirty(versions, files).join(files.select("path", "content"), "path", "left").join(F.broadcast(base))
+    rows = numbered(diff, "path", "seq", F.col("_b") + 1)
+    return rows.select("seq", F.lit(now).cast("timestamp").alias("ts"), F.when(F.col("change") == "removed", "delete").otherwise("snapshot").alias("op"), "path", F.lit(None).cast("string").alias("new_path"), "content", F.concat(F.lit("Snapshot "), "change").alias("message"))
 
 
 def log_message(c: Column) -> Column:

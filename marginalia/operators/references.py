@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from marginalia.functions import text as X
 
@@ -61,17 +60,41 @@ def select_pages(pages: DataFrame, path: str, query: str | None = None, book_pag
 
 def marked_text(pages: DataFrame, outline: DataFrame | None = None) -> DataFrame:
     """path, kind, content: each reference's text with page markers: all of it below FULL_PAGES pages, else the first
-    PART_PAGES; the outline's entries (path, pos, title, page) follow with markers of their own."""
-    counted = pages.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy("path")))
-    kept = counted.where((F.col("_n") < FULL_PAGES) | (F.col("page") <= PART_PAGES))
+    PART_PAGES; the outline's entries (path, pos, title, page) follow with markers of their own.
+
+    Pages are counted apart from their texts, so texts are moved once.
+    """
+    counts = pages.groupBy("path").agg(F.count(F.lit(1)).alias("_n"))
     mark = lambda p, t: F.concat(F.lit("--- Page "), p.cast("string"), F.lit(" ---\n"), F.coalesce(t, F.lit("")))
-    body = kept.select("path", "_n", F.struct(F.lit(0).alias("k"), F.col("page").alias("p"), mark(F.col("page"), F.col("text")).alias("t")).alias("s"))
+    body = pages.select("path", F.struct(F.lit(0).alias("k"), F.col("page").alias("p"), mark(F.col("page"), F.col("text")).alias("t")).alias("s"))
     if outline is not None:
-        body = body.unionByName(outline.select("path", F.lit(None).cast("bigint").alias("_n"), F.struct(F.lit(1).alias("k"), F.col("pos").alias("p"), mark(F.col("page"), F.col("title")).alias("t")).alias("s")))
-    text = body.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["t"]), "\n\n").alias("content"), F.max("_n").alias("_n"))
+        body = body.unionByName(outline.select("path", F.struct(F.lit(1).alias("k"), F.col("pos").alias("p"), mark(F.col("page"), F.col("title")).alias("t")).alias("s")))
+    kept = body.join(counts, "path").where((F.col("_n") < FULL_PAGES) | (F.col("s.k") == 1) | (F.col("s.p") <= PART_PAGES))
+    text = kept.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["t"]), "\n\n").alias("content"), F.max("_n").alias("_n"))
     return text.select("path", F.when(F.col("_n") < FULL_PAGES, "fullText").otherwise("tocOnly").alias("kind"), "content")
 
 
+#: The columns of the text cache.
+CACHE = "path string, kind string, pages long, content string, version int, source_modified timestamp"
+
+
+def build_cache(files: DataFrame, cache: DataFrame, pages: DataFrame, outline: DataFrame | None = None) -> DataFrame:
+    """The text cache (see CACHE) brought up to date with files (path, modified): fresh entries stay, the others are built from
+    pages and outline, and entries of files that are gone go. A file without pages has no entry.
+
+    Of several fresh entries of one path that of the newest source stays.
+    """
+    todo = uncached(files, cache).select("path", F.col("modified").alias("source_modified"))
+    wanted = pages.join(todo, "path", "left_semi")
+    built = marked_text(wanted, None if outline is None else outline.join(wanted.select("path").distinct(), "path", "left_semi"))
+    counts = wanted.groupBy("path").agg(F.count(F.lit(1)).alias("pages"))
+    built = built.join(counts, "path").join(todo, "path").select("path", "kind", "pages", "content", F.lit(CACHE_VERSION).alias("version"), "source_modified")
+    fresh = cache_state(files, cache).where("fresh").select("path")
+    kept = cache.where(F.col("version") >= CACHE_VERSION).join(fresh, "path", "left_semi")
+    kept = kept.groupBy("path").agg(F.max_by(F.struct("kind", F.col("pages").cast("bigint").alias("pages"), "content", "version", "source_modified"), F.struct("source_modified", "version")).alias("_e"))
+    return kept.select("path", "_e.*").unionByName(built)
+
+
 def cache_state(files: DataFrame, cache: DataFrame) -> DataFrame:
     """path, fresh: whether a reference (path, modified) has a cache entry (path, version, source_modified) of a valid version
     that is as new as the file, in whole seconds."""

@@ -26,6 +26,7 @@ class Vault:
     files: DataFrame | None = None
     pages: DataFrame | None = None
     cache: DataFrame | None = None
+    outline: DataFrame | None = None
     images: DataFrame | None = None
     root: str | None = None
     read_only: bool = False
@@ -47,8 +48,21 @@ class Vault:
         return self.texts("canvas")
 
     def all_files(self) -> DataFrame:
+        """Live files: those with versions, and the others that no version has deleted since."""
         own = history.state(self.versions).join(self.versions.select("seq", F.col("ts").alias("modified")), "seq").select("path", F.octet_length("content").cast("bigint").alias("size_bytes"), "modified")
-        return own if self.files is None else own.unionByName(self.files.select("path", "size_bytes", "modified"))
+        return own if self.files is None else own.unionByName(self.other_files())
+
+    def other_files(self) -> DataFrame:
+        """path, size_bytes, modified of the files without versions; none of them if there is no such table."""
+        rows = self.need("files").select("path", "size_bytes", "modified")
+        return rows.join(self.versions.where("op = 'delete'").select("path").distinct(), "path", "left_anti")
+
+    def need(self, name: str) -> DataFrame:
+        """One of the optional relations; an error of the request if this vault lacks it."""
+        got = getattr(self, name)
+        if got is None:
+            raise history.EditError(f"this vault has no {name}")
+        return got
 
     def append(self, rows: DataFrame) -> DataFrame:
         """Takes new version rows over; on storage this is one append to the versions table."""
@@ -60,6 +74,12 @@ def _note(path: str) -> str:
     return guards.check_relative(path, ("notes",), ("md", "markdown"))
 
 
+def _directory(directory: str | None) -> str | None:
+    if directory is not None and (directory.startswith("/") or ".." in directory.split("/")):
+        raise guards.GuardError(f"outside the vault: {directory}")
+    return directory
+
+
 def _canvas(path: str) -> str:
     return guards.check_relative(path, ("notes",), ("canvas",))
 
@@ -102,8 +122,9 @@ def _resolve(v: Vault, link: str, source: str | None = None) -> DataFrame:
     return links.resolve_links(one, v.all_files().where(F.col("path").startswith("notes/"))).select("rank", "match").orderBy("rank")
 
 
-def _outline_free(v: Vault) -> DataFrame:
-    return references.marked_text(v.pages).join(v.cache.select("path", "title"), "path", "left").select("path", "title", F.lit(0).alias("part"), "content")
+def _reference_texts(v: Vault) -> DataFrame:
+    titles = v.need("pages").select("path").distinct().withColumn("title", F.lit(None).cast("string")) if v.cache is None else v.cache.select("path", "title")
+    return references.marked_text(v.need("pages"), v.outline).join(titles, "path", "left").select("path", "title", F.lit(0).alias("part"), "content")
 
 
 def _add_image(v: Vault, source: str, destination: str) -> DataFrame:
@@ -117,14 +138,14 @@ def _add_image(v: Vault, source: str, destination: str) -> DataFrame:
 #: name: (operation class, function of the vault and arguments).
 TOOLS: dict[str, tuple[str, Callable[..., DataFrame]]] = {
     "read_note": ("READ", lambda v, path: v.notes.where(F.col("path") == _note(path))),
-    "read_notes": ("READ", lambda v, paths: notes.read_notes(v.spark, v.notes, paths)),
-    "list_notes": ("LIST", lambda v, directory="notes", recursive=True, tag=None: notes.list_notes(v.notes, directory, recursive, tag)),
+    "read_notes": ("READ", lambda v, paths: notes.read_notes(v.spark, v.notes, [_note(p) for p in paths])),
+    "list_notes": ("LIST", lambda v, directory="notes", recursive=True, tag=None: notes.list_notes(v.notes, _directory(directory), recursive, tag)),
     "get_note_metadata": ("METADATA", lambda v, path: notes.note_metadata(v.notes, _note(path))),
     "search_notes": ("SEARCH", lambda v, query, max_results=20: search.search_notes(v.notes, query, max_results)),
     "read_canvas": ("READ", lambda v, path: canvas.read_canvas(v.canvases, v.all_files(), _canvas(path))),
-    "list_canvas": ("LIST", lambda v, directory="notes", recursive=True: canvas.list_canvases(v.canvases.where(notes.in_directory(F.col("path"), directory, recursive)))),
+    "list_canvas": ("LIST", lambda v, directory="notes", recursive=True: canvas.list_canvases(v.canvases.where(notes.in_directory(F.col("path"), _directory(directory), recursive)))),
     "search_canvas": ("SEARCH", lambda v, query, max_results=20: canvas.search_canvases(v.canvases, query, max_results)),
-    "list_attachments": ("LIST", lambda v, directory="notes", recursive=True: attachments.list_attachments(v.all_files(), directory, recursive)),
+    "list_attachments": ("LIST", lambda v, directory="notes", recursive=True: attachments.list_attachments(v.all_files(), _directory(directory), recursive)),
     "resolve_link": ("READ", lambda v, link, **kw: _resolve(v, link, kw.get("from"))),
     "find_backlinks": ("SEARCH", lambda v, path: links.find_backlinks(v.notes, v.all_files(), path)),
     "create_note": ("CREATE", lambda v, path, content, tags=(): v.append(history.create(v.versions, _note(path), content, v.clock(), tags))),
@@ -135,20 +156,20 @@ TOOLS: dict[str, tuple[str, Callable[..., DataFrame]]] = {
     "create_canvas": ("CREATE", _create_canvas),
     "update_canvas": ("UPDATE", lambda v, path, content: v.append(history.update(v.versions, _canvas(path), _valid_canvas(v, path, content), v.clock()))),
     "delete_canvas": ("DELETE", lambda v, path: v.append(history.delete(v.versions, _canvas(path), v.clock()))),
-    "delete_attachment": ("DELETE", lambda v, path: v.append(history.delete(v.versions, guards.check_relative(path, ("notes",)), v.clock()))),
+    "delete_attachment": ("DELETE", lambda v, path: v.append(history.delete(v.versions, guards.check_relative(path, ("notes",)), v.clock(), None if v.files is None else v.other_files()))),
     "add_image": ("CREATE", _add_image),
-    "note_history": ("HISTORY", lambda v, path, max_entries=10: history.file_history(v.versions, path, max_entries)),
+    "note_history": ("HISTORY", lambda v, path, max_entries=10: history.file_history(v.versions, guards.check_relative(path, ("notes",)), max_entries)),
     "revert_note": ("UPDATE", lambda v, path, commit: v.append(history.revert(v.versions, _note(path), int(commit), v.clock()))),
     "vault_changelog": ("HISTORY", lambda v, max_entries=20, since=None: history.changelog(v.versions, max_entries, since)),
-    "list_references": ("LIST", lambda v, directory=None: references.list_references(v.files, v.cache, directory)),
-    "read_reference": ("READ", lambda v, path, page=None, book_page=None, page_range=None, query=None, max_pages=5: references.select_pages(v.pages, guards.check_relative(path, ("references",), ("pdf",)), query, book_page, page, page_range, max_pages)),
-    "search_references": ("SEARCH", lambda v, query, max_results=10, max_per_document=3: search.search_references(_outline_free(v), query, max_results, max_per_document)),
-    "get_reference_metadata": ("METADATA", lambda v, path: references.list_references(v.files, v.cache).where(F.col("path") == path).join(references.page_labels(v.pages), "path", "left")),
-    "read_image": ("READ", lambda v, path: images.image_plan(v.images.where(F.col("path") == guards.check_relative(path, ("notes", "references"), images.READABLE)))),
+    "list_references": ("LIST", lambda v, directory=None: references.list_references(v.need("files"), v.need("cache"), _directory(directory))),
+    "read_reference": ("READ", lambda v, path, page=None, book_page=None, page_range=None, query=None, max_pages=5: references.select_pages(v.need("pages"), guards.check_relative(path, ("references",), ("pdf",)), query, book_page, page, page_range, max_pages)),
+    "search_references": ("SEARCH", lambda v, query, max_results=10, max_per_document=3: search.search_references(_reference_texts(v), query, max_results, max_per_document)),
+    "get_reference_metadata": ("METADATA", lambda v, path: references.list_references(v.need("files"), v.need("cache")).where(F.col("path") == guards.check_relative(path, ("references",), ("pdf",))).join(references.page_labels(v.need("pages")), "path", "left")),
+    "read_image": ("READ", lambda v, path: images.image_plan(v.need("images").where(F.col("path") == guards.check_relative(path, ("notes", "references"), images.READABLE)))),
     "resource_index": ("RESOURCE", lambda v: notes.note_index(v.notes)),
     "resource_recent": ("RESOURCE", lambda v: notes.recent_notes(v.notes, v.clock())),
     "resource_tags": ("RESOURCE", lambda v: notes.tag_counts(v.notes)),
-    "resource_references": ("RESOURCE", lambda v: references.list_references(v.files, v.cache)),
+    "resource_references": ("RESOURCE", lambda v: references.list_references(v.need("files"), v.need("cache"))),
 }
 
 
@@ -163,7 +184,7 @@ def call(v: Vault, name: str, **args: object) -> DataFrame:
         return failed("the vault is read-only")
     try:
         return run(v, **args)
-    except (guards.GuardError, history.EditError, TypeError, ValueError) as e:
+    except (guards.GuardError, history.EditError, TypeError, ValueError, KeyError, AttributeError) as e:
         return failed(e)
 
 

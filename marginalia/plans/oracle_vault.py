@@ -116,6 +116,7 @@ _BACK = rf"""{_EDGES}, {_FILES}, based_v AS (SELECT path, regexp_extract(path, '
 
 _NODE = r"json_type(n, '$.{0}') = 'VARCHAR'"
 _STATE = """state_v AS (SELECT path, arg_max(content, seq) AS c0, max(seq) AS seq, arg_max(op, seq) AS last, arg_max({'c': content}, seq).c AS content FROM versions_v WHERE seq <= %s GROUP BY path)"""
+_ALL, _MIDDLE = "9223372036854775807", "(SELECT coalesce(max(doc_id), 0) // 2 FROM documents)"
 _CANVAS_LINES = r"regexp_split_to_array(t, '\r\n|[\n\x0B\f\r\x{85}\x{2028}\x{2029}]')"
 
 _MARKED_TEXT = rf"""{_PAGES}, counted_v AS (SELECT *, count(*) OVER (PARTITION BY path) AS n FROM pages_v), marked_v AS (
@@ -125,6 +126,25 @@ _PATCHED = """p1 AS (SELECT path, content AS c, (length(content) - length(replac
 p2 AS (SELECT *, CASE WHEN n1 = 1 THEN replace(c, 'canal', 'river bank') END AS d FROM p1),
 p3 AS (SELECT *, (length(d) - length(replace(d, 'the river', ''))) // 9 AS n2 FROM p2)"""
 
+# Edits: one for each path, judged against the newest state.
+_EDITS = """edits_v AS (SELECT arg_min(note_id, note_id) AS pos, path, arg_min({'c': content}, note_id).c AS content, arg_min(vault_key, note_id) AS vault_key
+  FROM (SELECT *, 'notes/' || vault_key || '/p' || (note_id % 80) || '.md' AS path FROM notes WHERE note_id IS NOT NULL) GROUP BY path),
+live_v AS (SELECT path, content FROM state_v WHERE last <> 'delete'),
+both_v AS (SELECT e.*, l.content AS old, l.path IS NOT NULL AS there, 'notes/' || vault_key || '/p' || (pos % 7 + 36) || '/m' || pos || '.md' AS goal FROM edits_v e LEFT JOIN live_v l ON l.path = e.path)"""
+_CREATED = rf"""CASE WHEN starts_with({_trim("coalesce(content, '')", _S)}, '---') THEN coalesce(content, '') ELSE '---' || chr(10) || 'title: ' || regexp_extract(path, '([^/]+)\.md$', 1) || chr(10) || 'created: 2025-12-31' || chr(10) || '---' || chr(10) || chr(10) || coalesce(content, '') END"""
+
+
+def _edit(text: str, message: str, error: str, goal: str = "CAST(NULL AS VARCHAR)") -> str:
+    made = f"SELECT pos, path, {goal} AS new_path, {text} AS c, {message} AS m, {error} AS error FROM both_v"
+    return f"WITH {_VERSIONS}, {_STATE % _ALL}, {_EDITS}, made_v AS ({made}) SELECT pos, path, new_path, CASE WHEN error IS NULL THEN md5(c) END AS digest, CASE WHEN error IS NULL THEN m END AS message, error FROM made_v"
+
+
+_MISSING = "CASE WHEN NOT there THEN 'no such file' END"
+_IMAGES = r"""raw_v AS (SELECT path, lower(regexp_extract(path, '[^/]+\.([^./]+)$', 1)) AS ext, size_bytes AS n, size_bytes % 30 + 1 AS k FROM files_v WHERE size_bytes IS NOT NULL),
+image_v AS (SELECT *, list_transform(range(1, k + 1), lambda i: (n + i) % 7 + 1) AS d, CASE WHEN k > 8 THEN list_transform(range(0, 8), lambda i: CAST(floor(i * (k - 1) / 7.0 + 0.5) AS BIGINT)) ELSE range(0, k) END AS picked
+  FROM raw_v WHERE ext IN ('png', 'jpg', 'jpeg', 'gif', 'webp', 'heic', 'tiff', 'tif', 'bmp'))"""
+_OFFSETS = "list_transform(picked, lambda i: CAST(coalesce(list_sum(d[1:i]), 0) AS BIGINT))"
+
 ORACLES = {
     "search_notes_single": _search(["the"], 20),
     "search_notes_multi": _search(["canal", "the"], 50),
@@ -168,7 +188,7 @@ ORACLES = {
     "canvas_missing_files": f"WITH {_FILES} SELECT DISTINCT node_row_id, 'notes/' || vault_key || substr(label, 6) AS file, 'file not found' AS warning FROM canvas_nodes WHERE node_type = 'file' AND label IS NOT NULL AND NOT EXISTS (SELECT 1 FROM files_v f WHERE f.path = 'notes/' || vault_key || substr(label, 6))",
     "attachment_list": rf"WITH {_FILES}, e AS (SELECT *, lower(regexp_extract(path, '[^/]+\.([^./]+)$', 1)) AS ext FROM files_v) SELECT path, ext, size_bytes, ext IN ('png', 'jpg', 'jpeg', 'gif', 'webp', 'heic', 'tiff', 'tif', 'bmp') AS readable, modified FROM e WHERE starts_with(path, 'notes/') AND ext NOT IN ('md', 'markdown', 'canvas') AND NOT regexp_matches(path, '(?:^|/)\.')",
     "version_latest": f"WITH {_VERSIONS}, {_STATE % '9223372036854775807'} SELECT path, seq, md5(content) AS digest FROM state_v WHERE last <> 'delete'",
-    "version_as_of": f"WITH {_VERSIONS}, {_STATE % '500'} SELECT path, seq FROM state_v WHERE last <> 'delete'",
+    "version_as_of": f"WITH {_VERSIONS}, {_STATE % _MIDDLE} SELECT path, seq FROM state_v WHERE last <> 'delete'",
     "file_history": f"WITH {_VERSIONS} SELECT seq, ts, op, op || ' ' || path AS message FROM versions_v WHERE path = 'notes/v000/p7.md' ORDER BY ts DESC, seq DESC LIMIT 10",
     "changelog_since": f"WITH {_VERSIONS} SELECT seq, ts, op, path, op || ' ' || path AS message FROM versions_v WHERE ts >= TIMESTAMP '2024-01-01' ORDER BY ts DESC, seq DESC LIMIT 50",
     "patch_apply": f"""WITH {_NOTES}, {_PATCHED} SELECT path, CASE WHEN n1 = 0 OR (n1 = 1 AND n2 = 0) THEN 'not found' WHEN n1 > 1 OR n2 > 1 THEN 'ambiguous' END AS error,
@@ -180,15 +200,42 @@ ORACLES = {
       UNION ALL SELECT pos, 'missing source' FROM m WHERE s NOT IN (SELECT path FROM files_v)
       UNION ALL SELECT pos, 'destination exists' FROM m WHERE lower(s) <> lower(d) AND d IN (SELECT path FROM files_v)""",
     "frame_sampling": "SELECT doc_id, array_to_string(CASE WHEN doc_id % 60 > 8 THEN list_transform(range(0, 8), lambda i: CAST(floor(i * (doc_id % 60 - 1) / 7.0 + 0.5) AS BIGINT)) ELSE range(0, doc_id % 60) END, ',') AS picked FROM documents",
-    "image_plans": rf"""WITH {_FILES}, e AS (SELECT path, lower(regexp_extract(path, '[^/]+\.([^./]+)$', 1)) AS ext, size_bytes AS n FROM files_v WHERE size_bytes IS NOT NULL),
-      a AS (SELECT path, ext, CASE WHEN n > 26214400 THEN 'reject_size' WHEN (n % 9000)::DOUBLE * (n % 7000) / 1000000 > 50 THEN 'reject_pixels' WHEN ext IN ('png', 'jpg', 'jpeg', 'gif', 'webp') AND greatest(n % 9000, n % 7000) <= 2576 THEN 'pass_through' ELSE 're_encode' END AS action FROM e WHERE ext IN ('png', 'jpg', 'jpeg', 'gif', 'webp', 'heic', 'tiff', 'tif', 'bmp'))
-      SELECT path, action, CASE WHEN action = 'pass_through' THEN CASE WHEN ext IN ('jpg', 'jpeg') THEN 'image/jpeg' ELSE 'image/' || ext END WHEN action = 're_encode' THEN 'image/png' END AS mime FROM a""",
+    "image_plans": rf"""WITH {_FILES}, {_IMAGES}, a AS (SELECT *, CASE WHEN n > 26214400 THEN 'reject_size' WHEN (n % 9000)::DOUBLE * (n % 7000) / 1000000 > 50 THEN 'reject_pixels' WHEN ext = 'gif' AND k > 1 THEN 'frames' WHEN ext IN ('png', 'jpg', 'jpeg', 'gif', 'webp') AND greatest(n % 9000, n % 7000) <= 2576 THEN 'pass_through' ELSE 're_encode' END AS action FROM image_v)
+      SELECT path, action, CASE WHEN action = 'pass_through' THEN CASE WHEN ext IN ('jpg', 'jpeg') THEN 'image/jpeg' ELSE 'image/' || ext END WHEN action IN ('re_encode', 'frames') THEN 'image/png' END AS mime,
+        CASE WHEN action = 'frames' THEN array_to_string(picked, ',') WHEN action IN ('pass_through', 're_encode') THEN '0' END AS frames, CASE WHEN action = 'frames' THEN array_to_string({_OFFSETS}, ',') END AS offsets, CASE WHEN action = 'frames' THEN CAST(list_sum(d) AS BIGINT) END AS duration FROM a""",
+    "animation_frames": rf"WITH {_FILES}, {_IMAGES}, f AS (SELECT path, picked, {_OFFSETS} AS o FROM image_v WHERE k > 1 AND n <= 26214400) SELECT path, i - 1 AS pos, picked[i] AS frame, o[i] AS offset FROM (SELECT *, unnest(range(1, len(picked) + 1)) AS i FROM f)",
+    "edit_create": _edit(_CREATED, "'Create ' || path", "CASE WHEN there THEN 'exists' END"),
+    "edit_replace": _edit("coalesce(content, '')", "'Update ' || path", _MISSING),
+    "edit_append": _edit("coalesce(old, '') || chr(10) || coalesce(content, '')", "'Update ' || path", _MISSING),
+    "edit_move": _edit("old", "'Move ' || path || ' to ' || goal", _MISSING, "goal"),
+    "edit_delete": _edit("old", r"'Delete ' || path || ' to 2025-12-31T00-00-00Z_' || regexp_extract(path, '[^/]*$')", _MISSING),
+    "edit_revert": f"WITH {_VERSIONS}, {_STATE % _ALL}, {_EDITS}, {_STATE.replace('state_v', 'then_v') % _MIDDLE} SELECT e.pos, e.path, CAST(NULL AS VARCHAR) AS new_path, CASE WHEN t.path IS NOT NULL THEN md5(t.content) END AS digest, CASE WHEN t.path IS NOT NULL THEN 'Revert ' || e.path || ' to ' || {_MIDDLE} END AS message, CASE WHEN t.path IS NULL THEN 'no such version' END AS error FROM edits_v e LEFT JOIN (SELECT * FROM then_v WHERE last <> 'delete') t ON t.path = e.path",
+    "state_after_edits": f"""WITH {_VERSIONS}, {_STATE % _ALL}, {_EDITS} SELECT path, md5(content) AS digest FROM live_v WHERE path NOT IN (SELECT path FROM edits_v)
+      UNION ALL SELECT goal, md5(old) FROM both_v WHERE there UNION ALL SELECT path, md5({_CREATED}) FROM both_v""",
+    "version_changes": f"WITH {_VERSIONS}, {_STATE % _ALL}, {_EDITS} SELECT path FROM both_v WHERE there UNION ALL SELECT goal FROM both_v WHERE there",
+    "vault_snapshot": f"""WITH {_VERSIONS}, {_STATE % _ALL}, new AS (SELECT path, content FROM state_v WHERE last <> 'delete'), {_STATE.replace('state_v', 'old_v') % _MIDDLE}, old AS (SELECT path, content FROM old_v WHERE last <> 'delete'),
+      d AS (SELECT coalesce(n.path, o.path) AS path, n.content, CASE WHEN o.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'removed' ELSE 'changed' END AS change FROM new n FULL JOIN old o ON o.path = n.path WHERE o.path IS NULL OR n.path IS NULL OR o.content IS DISTINCT FROM n.content)
+      SELECT CASE WHEN change = 'removed' THEN 'delete' ELSE 'snapshot' END AS op, 'Snapshot ' || change AS message, count(*) AS n, count(DISTINCT path) AS paths, count(*) FILTER (content IS NULL) AS blank FROM d GROUP BY ALL""",
+    "file_at_version": f"WITH {_VERSIONS}, {_STATE % _MIDDLE} SELECT path, md5(content) AS digest FROM state_v WHERE last <> 'delete' AND path = 'notes/v000/p7.md'",
+    "batch_read": rf"""WITH {_PARSED}, asked AS (SELECT i AS pos, 'notes/' || ['journal', 'meeting', 'reading'][i % 3 + 1] || '/doc-' || i * 7 || '.md' AS path FROM range(25) t(i))
+      SELECT a.pos, a.path, CASE WHEN pos < 20 THEN CAST(len(list_filter(regexp_split_to_array(p.body, '[{_S}]+'), lambda x: x <> '')) AS BIGINT) END AS word_count, CASE WHEN pos < 20 THEN md5(n.content) END AS digest, CASE WHEN pos >= 20 THEN 'skipped' WHEN n.path IS NULL THEN 'not found' END AS error
+      FROM asked a LEFT JOIN parsed_v p ON p.path = a.path LEFT JOIN notes_v n ON n.path = a.path""",
+    "reference_pages_read": f"""WITH {_PAGES}, own AS (SELECT * FROM pages_v WHERE path = (SELECT min(path) FROM pages_v)), labelled AS (SELECT coalesce(min(page) FILTER (label = '3'), min(page) FILTER (page = 3)) AS p FROM own), top AS (SELECT max(page) AS t FROM own),
+      asked AS (SELECT 'query' AS how, 20 AS most, * FROM own WHERE contains(lower(text), 'the') UNION ALL SELECT 'label', 5, * FROM own WHERE page = (SELECT p FROM labelled) UNION ALL SELECT 'page', 5, * FROM own WHERE page = 2
+        UNION ALL SELECT 'range', 5, * FROM own WHERE page BETWEEN 2 AND least(4, (SELECT t FROM top)) UNION ALL SELECT 'first', 5, * FROM own UNION ALL SELECT 'bad range', 20, * FROM own WHERE page BETWEEN 1 AND least(10, (SELECT t FROM top)))
+      SELECT how, CAST(page AS BIGINT) AS page, label, md5(text) AS digest FROM (SELECT *, row_number() OVER (PARTITION BY how ORDER BY page) AS r FROM asked) WHERE r <= most""",
+    "reference_cache_build": f"""WITH {_REFS}, {_PAGES}, f AS (SELECT path, max(modified) AS modified FROM refs_v GROUP BY 1), best AS (SELECT path, max(source_modified) AS m FROM refs_v WHERE version >= 3 GROUP BY 1),
+      fresh AS (SELECT f.path FROM f JOIN best USING (path) WHERE date_trunc('second', f.modified) <= date_trunc('second', best.m)), p AS (SELECT * FROM pages_v WHERE page IS NOT NULL AND path IN (SELECT path FROM f) AND path NOT IN (SELECT path FROM fresh)),
+      c AS (SELECT path, count(*) AS n FROM p GROUP BY 1), b AS (SELECT path, 0 AS k, page AS o, page, '--- Page ' || page || ' ---' || chr(10) || coalesce(text, '') AS t, n FROM p JOIN c USING (path) WHERE n < 200 OR page <= 30
+        UNION ALL SELECT path, 1, page_id, page, '--- Page ' || page || ' ---' || chr(10) || coalesce(label, ''), n FROM p JOIN c USING (path) WHERE page % 3 = 0)
+      SELECT path, CASE WHEN max(n) < 200 THEN 'fullText' ELSE 'tocOnly' END AS kind, max(n) AS pages, md5(string_agg(t, chr(10) || chr(10) ORDER BY k, o, t)) AS digest, CAST(3 AS BIGINT) AS version FROM b GROUP BY 1
+      UNION ALL SELECT path, 'fullText', CAST(arg_max({{'p': pages}}, source_modified).p AS BIGINT), md5(coalesce(arg_max({{'t': title}}, source_modified).t, '')), CAST(max(version) AS BIGINT) FROM refs_v WHERE version >= 3 AND path IN (SELECT path FROM fresh) GROUP BY 1""",
     "audit_by_operation": r"WITH o AS (SELECT regexp_extract(line, '^[0-9TZ:\-]+ \| ([A-Z]+) +\| ', 1) AS operation FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents WHERE source = 'log' AND text IS NOT NULL)) SELECT operation, count(*) AS n, operation IN ('CREATE', 'UPDATE', 'MOVE', 'DELETE') AS writes FROM o WHERE operation <> '' GROUP BY 1",
     "path_guard": r"""WITH t AS (SELECT DISTINCT link_id, target, CASE WHEN contains(target, '%') THEN url_decode(target) ELSE target END AS d FROM parsed_links)
       SELECT link_id, CASE WHEN target IS NULL OR target = '' THEN 'empty' WHEN starts_with(d, '/') THEN 'absolute' WHEN list_contains(string_split(d, '/'), '..') THEN 'traversal' WHEN NOT starts_with(d, 'notes/') THEN 'outside' WHEN lower(regexp_extract(d, '[^/]+\.([^./]+)$', 1)) NOT IN ('md', 'markdown') THEN 'extension' END AS problem FROM t""",
     "sanitize_message": r"SELECT DISTINCT result_id, regexp_replace(replace(snippet, chr(10), ' '), '[^\p{L}\p{M}\p{N} \-_./\[\]():,]', '', 'g') AS message, regexp_replace(title, '[^\p{L}\p{M}0-9\-_/.]', '', 'g') AS ref FROM search_results",
     "byte_format": "WITH b AS (SELECT DISTINCT file_id, size_bytes * 37 AS n FROM vault_files WHERE size_bytes IS NOT NULL) SELECT file_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KB', n / 1024.0::DOUBLE) ELSE printf('%.1f MB', n / 1048576.0::DOUBLE) END AS shown FROM b",
     "cache_keys": rf"WITH {_REFS} SELECT path, substr(sha256(path), 1, 32) AS key, regexp_replace(path, '\.[^./]+$', '') || '.png' AS png FROM refs_v",
-    "dirty_files": f"""WITH {_VERSIONS}, {_STATE % '9223372036854775807'}, new AS (SELECT path, content FROM state_v WHERE last <> 'delete'), {_STATE.replace('state_v', 'old_v') % '600'}, old AS (SELECT path, content FROM old_v WHERE last <> 'delete')
+    "dirty_files": f"""WITH {_VERSIONS}, {_STATE % '9223372036854775807'}, new AS (SELECT path, content FROM state_v WHERE last <> 'delete'), {_STATE.replace('state_v', 'old_v') % _MIDDLE}, old AS (SELECT path, content FROM old_v WHERE last <> 'delete')
       SELECT coalesce(n.path, o.path) AS path, CASE WHEN o.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'removed' ELSE 'changed' END AS change FROM new n FULL JOIN old o ON o.path = n.path WHERE o.path IS NULL OR n.path IS NULL OR o.content IS DISTINCT FROM n.content""",
 }

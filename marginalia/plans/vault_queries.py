@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as X
-from marginalia.operators import attachments, canvas, guards, history, images, links, notes, references, search
+from marginalia.operators import attachments, canvas, edits, guards, history, images, links, notes, references, search
 from marginalia.plans import vault_views as V
 from marginalia.session import table
 
@@ -213,8 +213,13 @@ def version_latest(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def version_as_of(s: SparkSession, d: str) -> DataFrame:
-    """The vault as of an earlier version."""
-    return history.state(V.versions(s, d), 500).select("path", "seq")
+    """The vault as of the version in the middle of its history."""
+    v = V.versions(s, d)
+    return history.state(v, _middle(v)).select("path", "seq")
+
+
+def _middle(versions: DataFrame) -> int:
+    return (versions.agg(F.max("seq")).first()[0] or 0) // 2
 
 
 @query
@@ -249,12 +254,137 @@ def frame_sampling(s: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", F.array_join(F.transform(images.sample_indices(F.col("frames")), lambda i: i.cast("string")), ",").alias("picked"))
 
 
+def _image_rows(s: SparkSession, d: str) -> DataFrame:
+    """Image files with made-up sizes, frames and delays (in hundredths of a second)."""
+    f = V.files(s, d).where(F.lower(X.extension(F.col("path"))).isin(*images.READABLE) & F.col("size_bytes").isNotNull())
+    n, frames = F.col("size_bytes"), (F.col("size_bytes") % 30 + 1).cast("int")
+    delays = F.transform(F.sequence(F.lit(1), frames), lambda i: ((n + i) % 7 + 1) / F.lit(100.0))
+    return f.select("path", F.lower(X.extension(F.col("path"))).alias("ext"), n.alias("bytes"), (n % 9000).cast("int").alias("width"), (n % 7000).cast("int").alias("height"), frames.alias("frames"), delays.alias("delays"))
+
+
 @query
 def image_plans(s: SparkSession, d: str) -> DataFrame:
-    f = V.files(s, d).where(F.lower(X.extension(F.col("path"))).isin(*images.READABLE) & F.col("size_bytes").isNotNull())
-    n = F.col("size_bytes")
-    rows = f.select("path", F.lower(X.extension(F.col("path"))).alias("ext"), n.alias("bytes"), (n % 9000).cast("int").alias("width"), (n % 7000).cast("int").alias("height"), F.lit(1).alias("frames"), F.lit(None).cast("array<double>").alias("delays"))
-    return images.image_plan(rows).select("path", "action", "mime")
+    """How each image would be read, with the frames picked and where they begin, in hundredths of a second."""
+    hundredths = lambda c: F.round(c * 100).cast("bigint")
+    listed = lambda c: F.array_join(c.cast("array<string>"), ",")
+    plan = images.image_plan(_image_rows(s, d))
+    return plan.select("path", "action", "mime", listed(F.col("frames")).alias("frames"), listed(F.transform("offsets", hundredths)).alias("offsets"), hundredths(F.col("total_duration")).alias("duration"))
+
+
+@query
+def animation_frames(s: SparkSession, d: str) -> DataFrame:
+    """All images as if they were animations: sampled frames and their offsets."""
+    plan = images.image_plan(_image_rows(s, d).withColumns({"ext": F.lit("gif"), "width": F.lit(100), "height": F.lit(100)}))
+    return plan.where("action = 'frames'").select("path", F.posexplode(F.arrays_zip("frames", "offsets")).alias("pos", "_f")).select("path", F.col("pos").cast("bigint").alias("pos"), F.col("_f.frames").cast("bigint").alias("frame"), F.round(F.col("_f.offsets") * 100).cast("bigint").alias("offset"))
+
+
+def _edits(s: SparkSession, d: str, op: str, paths: int = 80) -> DataFrame:
+    """Notes as edits of one sort: pos, op, path, new_path, content, seq, one for each path."""
+    v = V.versions(s, d)
+    path = F.concat(F.lit("notes/"), "vault_key", F.lit("/p"), (F.col("note_id") % paths).cast("string"), F.lit(".md"))
+    rows = table(s, d, "notes").where("note_id is not null").groupBy(path.alias("path")).agg(F.min(F.struct("note_id", "vault_key", "content")).alias("_n"))
+    new = F.when(F.lit(op) == "move", F.concat(F.lit("notes/"), F.col("_n.vault_key"), F.lit("/p"), (F.col("_n.note_id") % 7 + 36).cast("string"), F.lit("/m"), F.col("_n.note_id").cast("string"), F.lit(".md")))
+    return rows.select(F.col("_n.note_id").alias("pos"), F.lit(op).alias("op"), "path", new.alias("new_path"), F.col("_n.content").alias("content"), F.lit(_middle(v)).alias("seq"))
+
+
+def _edited(s: SparkSession, d: str, op: str) -> DataFrame:
+    return edits.edited(V.versions(s, d), _edits(s, d, op), NOW).select("pos", "path", "new_path", F.md5("content").alias("digest"), "message", "error")
+
+
+@query
+def edit_create(s: SparkSession, d: str) -> DataFrame:
+    """Every note as a new file: what is written, or why not."""
+    return _edited(s, d, "create")
+
+
+@query
+def edit_replace(s: SparkSession, d: str) -> DataFrame:
+    return _edited(s, d, "replace")
+
+
+@query
+def edit_append(s: SparkSession, d: str) -> DataFrame:
+    return _edited(s, d, "append")
+
+
+@query
+def edit_move(s: SparkSession, d: str) -> DataFrame:
+    return _edited(s, d, "move")
+
+
+@query
+def edit_delete(s: SparkSession, d: str) -> DataFrame:
+    return _edited(s, d, "delete")
+
+
+@query
+def edit_revert(s: SparkSession, d: str) -> DataFrame:
+    """Every path back to the middle of the history."""
+    return _edited(s, d, "revert")
+
+
+@query
+def state_after_edits(s: SparkSession, d: str) -> DataFrame:
+    """The vault after a batch of moves and then one of new notes."""
+    v = V.versions(s, d)
+    v = v.unionByName(edits.version_rows(v, _edits(s, d, "move"), NOW))
+    v = v.unionByName(edits.version_rows(v, _edits(s, d, "create"), NOW))
+    return history.state(v).select("path", F.md5("content").alias("digest"))
+
+
+@query
+def version_changes(s: SparkSession, d: str) -> DataFrame:
+    """The paths that the last version of a batch of moves touches."""
+    v = V.versions(s, d)
+    rows = edits.version_rows(v, _edits(s, d, "move"), NOW)
+    return v.unionByName(rows).where("op = 'move'").select(F.explode(F.array("path", "new_path")).alias("path")).distinct()
+
+
+@query
+def vault_snapshot(s: SparkSession, d: str) -> DataFrame:
+    """Versions that bring the middle of the history to the newest state, and whether their numbers are without gaps."""
+    v = V.versions(s, d)
+    m = _middle(v)
+    rows = history.snapshot(v.where(F.col("seq") <= m), history.state(v).select("path", "content"), NOW)
+    return rows.groupBy("op", "message").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("path").alias("paths"), F.count_if(F.col("content").isNull()).alias("blank"))
+
+
+@query
+def file_at_version(s: SparkSession, d: str) -> DataFrame:
+    """One file as of the middle of the history."""
+    v = V.versions(s, d)
+    return history.file_at(v, "notes/v000/p7.md", _middle(v)).select("path", F.md5("content").alias("digest"))
+
+
+@query
+def batch_read(s: SparkSession, d: str) -> DataFrame:
+    """Twenty-five paths, of which some are missing and the last five are skipped."""
+    paths = [f"notes/{('journal', 'meeting', 'reading')[i % 3]}/doc-{i * 7}.md" for i in range(25)]
+    return notes.read_notes(s, V.notes(s, d), paths).select(F.col("pos").cast("bigint").alias("pos"), "path", F.col("word_count").cast("bigint").alias("word_count"), F.md5("content").alias("digest"), "error")
+
+
+@query
+def reference_pages_read(s: SparkSession, d: str) -> DataFrame:
+    """Pages of the first reference: by query, label, number, range and the first ones."""
+    pages = V.pages(s, d)
+    path = pages.agg(F.min("path")).first()[0] or ""
+    asked = {"query": {"query": "THE", "max_pages": 50}, "label": {"book_page": "3"}, "page": {"page": 2}, "range": {"page_range": "2-4"}, "first": {}, "bad range": {"page_range": "x", "max_pages": 99}}
+    out = None
+    for how, args in asked.items():
+        part = references.select_pages(pages, path, **args).select(F.lit(how).alias("how"), F.col("page").cast("bigint").alias("page"), "label", F.md5("text").alias("digest"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query
+def reference_cache_build(s: SparkSession, d: str) -> DataFrame:
+    """The text cache after an incremental build over all references, with an outline entry for each third page."""
+    files = V.reference_files(s, d)
+    pages = V.pages(s, d).where("page is not null")
+    outline = pages.where("page % 3 = 0").select("path", F.col("page_id").alias("pos"), F.coalesce("label", F.lit("")).alias("title"), "page")
+    cache = files.select("path", F.lit("fullText").alias("kind"), F.col("pages").cast("bigint").alias("pages"), F.coalesce("title", F.lit("")).alias("content"), "version", "source_modified")
+    built = references.build_cache(files.groupBy("path").agg(F.max("modified").alias("modified")), cache, pages, outline)
+    return built.select("path", "kind", "pages", F.md5("content").alias("digest"), F.col("version").cast("bigint").alias("version"))
 
 
 @query
@@ -291,5 +421,5 @@ def cache_keys(s: SparkSession, d: str) -> DataFrame:
 @query
 def dirty_files(s: SparkSession, d: str) -> DataFrame:
     """How the newest state differs from that of an earlier version."""
-    now, v = history.state(V.versions(s, d)), V.versions(s, d).where("seq <= 600")
-    return history.dirty(v, now.select("path", "content"))
+    v = V.versions(s, d)
+    return history.dirty(v.where(F.col("seq") <= _middle(v)), history.state(v).select("path", "content"))

@@ -30,7 +30,7 @@ def test_listing(spark):
     df = frame(spark, {"notes/a.md": "---\ntags: X\n---", "notes/p/b.MD": "", "notes/.h/c.md": "", "notes/d.txt": "", "references/e.md": "", "notesx/f.md": ""})
     assert [r["path"] for r in notes.list_notes(df).collect()] == ["notes/p/b.MD", "notes/a.md"]
     assert [r["path"] for r in notes.list_notes(df, recursive=False, tag="x").collect()] == ["notes/a.md"]
-    assert [r["path"] for r in notes.recent_notes(df, T(12)).collect()][-1] == "notes/d.txt" or True
+    assert [r["path"] for r in notes.recent_notes(df, T(12)).collect()] == ["notesx/f.md", "references/e.md"]
     got = notes.read_notes(spark, df, ["notes/p/b.MD", "no.md"] + ["notes/a.md"] * 19).collect()
     assert [r["error"] for r in got] == [None, "not found"] + [None] * 18 + ["skipped"]
 
@@ -192,3 +192,52 @@ def test_small_expressions(spark):
     assert val(X.new_frontmatter(F.lit("T"), F.lit("2025-01-01"), F.array(F.lit(" A ")))) == "---\ntitle: T\ncreated: 2025-01-01\ntags: [a]\n---\n"
     files = spark.createDataFrame([("notes/a.png", 1, T(1)), ("notes/_x/b.csv", 2, T(2)), ("notes/c.md", 1, T(3)), ("notes/.d/e.png", 1, T(4)), ("notes/f.canvas", 1, T(5))], "path string, size_bytes long, modified timestamp")
     assert [(r["path"], r["readable"]) for r in attachments.list_attachments(files).collect()] == [("notes/_x/b.csv", False), ("notes/a.png", True)]
+
+
+def test_edits_at_once(spark):
+    from marginalia.operators import edits
+
+    v = spark.createDataFrame([(1, T(1), "create", "notes/a.md", None, "one", "m"), (2, T(2), "update", "notes/a.md", None, "two", "m"), (3, T(2), "create", "notes/b-x.md", None, None, "m"), (4, T(3), "delete", "notes/gone.md", None, "g", "m")], history.VERSION)
+    asked = [
+        (0, "create", "notes/a.md", None, "x", None), (1, "create", "notes/new_one.md", None, "text", None), (2, "create", "notes/own.md", None, " ---\nt: 1\n---", None), (3, "append", "notes/b-x.md", None, "more", None), (4, "delete", "notes/none.md", None, None, None),
+        (5, "revert", "notes/gone.md", None, None, 3), (6, "move", "notes/c.md", "notes/d.md", None, None), (7, "burn", "notes/q.md", None, None, None), (8, None, "notes/r.md", None, None, None), (9, "replace", "notes/twice.md", None, "", None), (10, "create", "notes/twice.md", None, "", None),
+    ]
+    schema = "pos int, op string, path string, new_path string, content string, seq long"
+    got = {r["pos"]: (r["content"], r["error"]) for r in edits.edited(v, spark.createDataFrame(asked, schema), T(9)).collect()}
+    assert got == {
+        0: (None, "exists"), 1: ("---\ntitle: new one\ncreated: 2025-01-09\n---\n\ntext", None), 2: (" ---\nt: 1\n---", None), 3: ("\nmore", None), 4: (None, "no such file"), 5: (None, "no such version"), 6: (None, "no such file"),
+        7: (None, "unknown operation"), 8: (None, "unknown operation"), 9: (None, "path twice"), 10: (None, "path twice"),
+    }
+    good = [(0, "move", "notes/a.md", "notes/A.md", None, None), (1, "revert", "notes/b-x.md", None, None, 3), (2, "delete", "notes/b.md", None, None, None), (3, "create", "notes/z.md", None, "z", None)]
+    rows = edits.version_rows(v, spark.createDataFrame(good, schema), T(9))
+    assert sorted(r["seq"] for r in rows.collect()) == [5, 6, 7]
+    assert {r["path"]: r["content"][-1:] if r["content"] else r["content"] for r in history.state(v.unionByName(rows)).collect()} == {"notes/A.md": "o", "notes/b-x.md": None, "notes/z.md": "z"}
+    assert edits.edited(v, spark.createDataFrame([], schema), T(9)).count() == 0
+    many = edits.numbered(spark.range(5000).selectExpr("cast(id as string) path"), "path", "seq", F.lit(11))
+    assert sorted(r["seq"] for r in many.collect()) == list(range(11, 5011))
+
+
+def test_deleted_attachments_and_missing_relations(spark):
+    from marginalia.operators.toolbox import Vault, call
+
+    v = Vault(spark, spark.createDataFrame([(1, T(1), "create", "notes/a.md", None, "one", "m")], history.VERSION), clock=lambda: T(9))
+    for name, args in (("list_references", {}), ("read_reference", {"path": "references/a.pdf"}), ("search_references", {"query": "x"}), ("get_reference_metadata", {"path": "references/a.pdf"}), ("read_image", {"path": "notes/a.png"}), ("list_notes", {"directory": "../x"}), ("read_notes", {"paths": ["/etc/x.md"]}), ("move_notes", {"moves": [{}]}), ("note_history", {"path": "../a"})):
+        assert call(v, name, **args).columns == ["error"], name
+    v.files = spark.createDataFrame([("notes/p.png", 5, T(1)), ("references/r.pdf", 7, T(1))], "path string, size_bytes long, modified timestamp")
+    assert [r["path"] for r in call(v, "list_attachments").collect()] == ["notes/p.png"]
+    assert call(v, "delete_attachment", path="notes/q.png").columns == ["error"]
+    assert call(v, "delete_attachment", path="notes/p.png").first()["op"] == "delete"
+    assert call(v, "list_attachments").count() == 0 and call(v, "delete_attachment", path="notes/p.png").columns == ["error"]
+    v.pages = spark.createDataFrame([("references/r.pdf", 1, None, "nothing")], "path string, page int, label string, text string")
+    v.outline = spark.createDataFrame([("references/r.pdf", 1, "The Harbour", 1)], "path string, pos int, title string, page int")
+    assert [r["path"] for r in call(v, "search_references", query="harbour").collect()] == ["references/r.pdf"]
+
+
+def test_cache_build(spark):
+    pages = spark.createDataFrame([(p, i, None, f"{p} {i}") for p in "abc" for i in (1, 2)], "path string, page int, label string, text string")
+    files = spark.createDataFrame([("a", T(2)), ("b", T(2)), ("c", T(5)), ("empty", T(1))], "path string, modified timestamp")
+    cache = spark.createDataFrame([("a", "fullText", 9, "old a", 3, T(2)), ("c", "fullText", 9, "old c", 3, T(3)), ("lost", "fullText", 1, "x", 3, T(1)), ("b", "fullText", 1, "x", 2, T(9))], references.CACHE)
+    outline = spark.createDataFrame([("c", 1, "Part", 2)], "path string, pos int, title string, page int")
+    got = {r["path"]: (r["pages"], r["content"], r["source_modified"].day) for r in references.build_cache(files, cache, pages, outline).collect()}
+    assert got == {"a": (9, "old a", 2), "b": (2, "--- Page 1 ---\nb 1\n\n--- Page 2 ---\nb 2", 2), "c": (2, "--- Page 1 ---\nc 1\n\n--- Page 2 ---\nc 2\n\n--- Page 2 ---\nPart", 5)}
+    assert references.build_cache(files, cache.limit(0), pages.limit(0)).count() == 0
