@@ -240,23 +240,21 @@ def page_kinds(units: DataFrame, least_docs: int = 3, share: float = 0.3, least_
     says_error = lambda u: reduce(or_, (F.contains(F.lower(u), F.lit(w)) for w in ERROR_NEEDS)) & F.lower(u).rlike(ERROR)
     plain = F.transform("units", lambda u: F.regexp_replace(u, rf"[{_OPEN}{_CLOSE}{_ON}{_GAP}]|^#{{1,6}}\s+", ""))
     work = _once(units, ["id"], _u=F.filter(plain, lambda u: u.rlike(r"[\p{L}\p{N}]"))).where(F.size("_u") > 0)
-    # What each unit is, once for each different unit: few patterns run over many copies.
-    each = work.select("id", F.posexplode("_u").alias("_i", "_v"))
-    counted = each.select("id", mask(F.col("_v")).alias("_m"), furniture(F.col("_v")).alias("_f"), says_script(F.col("_v")).alias("_s"), says_error(F.col("_v")).alias("_e"), (F.col("_i") == 0).alias("_first"), (F.col("_v").rlike(r"^\W*444(?:\W|$)")).alias("_code"))
-    counted = cut(counted)
-    docs = counted.groupBy("id").agg(F.bool_or(F.col("_f") | F.col("_s") | F.col("_e")).alias("_goes"), F.bool_or(F.col("_first") & F.col("_code")).alias("_headed"), F.sum(F.xxhash64("_m").cast("decimal(38,0)")).alias("_whole"))
-    going = docs.where("_goes").select("id", F.lit(True).alias("_goes"))
-    # Units of documents without any such unit can only count against a template, so their counts come without ids.
-    core = counted.where("not _f and not _s and not _e").select("id", "_m").distinct().join(going, "id", "left")
-    templates = core.groupBy("_m").agg(F.count(F.lit(1)).alias("_c"), F.count("_goes").alias("_g")).where((F.col("_g") >= least_docs) & (F.col("_g") >= share * F.col("_c"))).select("_m", F.lit(True).alias("_page"))
-    templates = bounded(templates)
-    holds = F.col("_f") | F.col("_s") | F.col("_e") | F.coalesce("_page", F.lit(False))
+    # What each unit is, in one array for each document, with masked units as hashes.
+    each = F.transform("_u", lambda u: F.struct(F.xxhash64(mask(u)).alias("m"), furniture(u).alias("f"), says_script(u).alias("s"), says_error(u).alias("e")))
+    work = _once(work, ["id"], _a=each, _code=F.get("_u", F.lit(0)).rlike(r"^\W*444(?:\W|$)"))
+    goes = lambda x: x["f"] | x["s"] | x["e"]
+    work = cut(work.withColumn("_goes", F.exists("_a", goes)))
+    core = work.select("_goes", F.explode(F.array_distinct(F.transform(F.filter("_a", lambda x: ~goes(x)), lambda x: x["m"]))).alias("m"))
+    templates = core.groupBy("m").agg(F.count(F.lit(1)).alias("_c"), F.count_if("_goes").alias("_g")).where((F.col("_g") >= least_docs) & (F.col("_g") >= share * F.col("_c")))
+    templates = bounded(templates.select("m", F.lit(True).alias("_page")))
+    holds = F.col("f") | F.col("s") | F.col("e") | F.coalesce("_page", F.lit(False))
     # All units must hold, so the first one spares most documents the rest.
-    begun = counted.where("_first").join(templates, "_m", "left").where(holds).select("id")
-    asked = counted.join(begun, "id", "left_semi").join(templates, "_m", "left")
-    judged = asked.groupBy("id").agg((F.bool_and(holds) & F.bool_or(~F.col("_f"))).alias("_all"), F.bool_or(F.col("_s") & ~F.col("_f")).alias("_script"))
+    begun = work.select("id", "_a", F.get("_a", F.lit(0)).alias("_x")).select("id", "_a", "_x.*").join(templates, "m", "left").where(holds).select("id", "_a")
+    asked = begun.select("id", F.inline("_a")).join(templates, "m", "left")
+    judged = asked.groupBy("id").agg((F.bool_and(holds) & F.bool_or(~F.col("f"))).alias("_all"), F.bool_or(F.col("s") & ~F.col("f")).alias("_script"))
     known = judged.where("_all").select("id", F.when(F.col("_script"), "script").otherwise("error").alias("kind"))
-    headed = docs.where("_headed").select("id", "_whole")
+    headed = work.where("_code").select("id", F.xxhash64(F.transform("_a", lambda x: x["m"])).alias("_whole"))
     again = headed.groupBy("_whole").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least_pages)
     return known.unionByName(headed.join(again, "_whole", "left_semi").select("id", F.lit("error").alias("kind")))
 
