@@ -17,6 +17,7 @@ differ from the flow's by less than one item for each pattern and source.
 
 from __future__ import annotations
 
+from collections import deque
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -25,55 +26,13 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from marginalia.llm.tokens import VOCABULARIES, with_token_count
-from marginalia.session import cut
+from marginalia.session import BROADCAST_ROWS, cut
 
 #: Sources that may be listed at most; patterns and quotas are solved on the driver, so their number is bounded.
 MOST_SOURCES = 64
 MOST_PATTERNS = 20_000
 
 
-class MinCostFlow:
-    """Successive cheapest paths in whole numbers, on a small graph."""
-
-    def __init__(self, nodes: int) -> None:
-        self.adjacent: list[list[int]] = [[] for _ in range(nodes)]
-        self.arcs: list[list[int]] = []  # to, capacity left, cost
-
-    def add(self, a: int, b: int, capacity: int, cost: int) -> int:
-        self.adjacent[a].append(len(self.arcs))
-        self.arcs.append([b, capacity, cost])
-        self.adjacent[b].append(len(self.arcs))
-        self.arcs.append([a, 0, -cost])
-        return len(self.arcs) - 2
-
-    def run(self, s: int, t: int) -> int:
-        total = 0
-        while True:
-            cost, via = {s: 0}, {}
-            queue, queued = [s], {s}
-            while queue:
-                a = queue.pop(0)
-                queued.discard(a)
-                for e in self.adjacent[a]:
-                    b, left, c = self.arcs[e]
-                    if left > 0 and cost[a] + c < cost.get(b, 1 << 62):
-                        cost[b], via[b] = cost[a] + c, e
-                        if b not in queued:
-                            queued.add(b)
-                            queue.append(b)
-            if t not in via:
-                return total
-            path, at = [], t
-            while at != s:
-                path.append(via[at])
-                at = self.arcs[via[at] ^ 1][0]
-            push = min(self.arcs[e][1] for e in path)
-            for e in path:
-                self.arcs[e][1] -= push
-                self.arcs[e ^ 1][1] += push
-            total += push
-
-
 @dataclass(frozen=True)
 class Target:
     source: str
@@ -81,32 +40,139 @@ class Target:
     repeats: int
 
 
+class Network:
+    """Token capacity from patterns to source quotas as a flow in whole numbers.
+
+    Only a pattern's uses have a price, k * k for the k-th, so a cheapest path is one whose first arc is the cheapest use that
+    still reaches a quota. The flow is therefore grown use by use: the arcs of the k-th use are opened for all patterns and
+    filled by blocking flows over shortest paths (which may reroute what flows already) before the next use is opened.
+    That gives a flow of the least cost among the largest ones.
+    """
+
+    def __init__(self, capacity: dict[tuple[str, ...], int], targets: list[Target]) -> None:
+        self.patterns, self.targets = list(capacity), targets
+        self.sizes = [capacity[p] for p in self.patterns]
+        by, first = {t.source: i for i, t in enumerate(targets)}, len(self.patterns)
+        self.uses = [max(targets[by[x]].repeats for x in p) for p in self.patterns]
+        self.sources = [[first + by[x] for x in p] for p in self.patterns]
+        self.holders: list[list[int]] = [[] for _ in targets]
+        for i, nodes in enumerate(self.sources):
+            for n in nodes:
+                self.holders[n - first].append(i)
+
+    def solve(self, total: float) -> bool:
+        """Routes the quotas of a total; whether all are met. ``flow`` and ``open`` keep what flows and what the quotas lack."""
+        first = len(self.patterns)
+        self.quota = [int(t.share * total) for t in self.targets]
+        self.open = list(self.quota)
+        self.left = [0] * first
+        self.flow: list[dict[int, int]] = [{} for _ in self.patterns]
+        for use in range(max(self.uses, default=0)):
+            for i, n in enumerate(self.sizes):
+                if use < self.uses[i]:
+                    self.left[i] += n
+            while self._blocking():
+                pass
+            if not any(self.open):
+                return True
+        return not any(self.open)
+
+    def _room(self, i: int, n: int) -> int:
+        return self.sizes[i] * self.targets[n - len(self.patterns)].repeats - self.flow[i].get(n, 0)
+
+    def _levels(self) -> dict[int, int]:
+        first, level = len(self.patterns), {i: 0 for i, n in enumerate(self.left) if n > 0}
+        queue, met = deque(level), None
+        while queue:
+            a = queue.popleft()
+            if met is not None and level[a] >= met:
+                continue
+            if a < first:
+                near = (n for n in self.sources[a] if n not in level and self._room(a, n) > 0)
+            elif self.open[a - first] > 0:
+                met = level[a] if met is None else met
+                continue
+            else:
+                near = (i for i in self.holders[a - first] if i not in level and self.flow[i].get(a, 0) > 0)
+            for b in near:
+                level[b] = level[a] + 1
+                queue.append(b)
+        return level if met is not None else {}
+
+    def _blocking(self) -> bool:
+        """Fills all shortest paths; whether there were any."""
+        first, level, moved = len(self.patterns), self._levels(), False
+        if not level:
+            return False
+        tried: dict[int, int] = {}
+        for start in [i for i, n in enumerate(self.left) if n > 0]:
+            path = [start]
+            while self.left[start] > 0 and path:
+                a = path[-1]
+                if a >= first and self.open[a - first] > 0:
+                    push = min(self.left[start], self.open[a - first])
+                    for x, y in zip(path, path[1:]):
+                        push = min(push, self._room(x, y) if x < first else self.flow[y][x])
+                    self.left[start] -= push
+                    self.open[a - first] -= push
+                    for x, y in zip(path, path[1:]):
+                        if x < first:
+                            self.flow[x][y] = self.flow[x].get(y, 0) + push
+                        else:
+                            self.flow[y][x] -= push
+                    moved, path = True, [start]
+                    continue
+                near = self.sources[a] if a < first else self.holders[a - first]
+                k = tried.get(a, 0)
+                while k < len(near) and not (level.get(near[k]) == level[a] + 1 and (self._room(a, near[k]) > 0 if a < first else self.flow[near[k]].get(a, 0) > 0)):
+                    k += 1
+                tried[a] = k
+                if k < len(near):
+                    path.append(near[k])
+                else:
+                    path.pop()
+                    if path:
+                        tried[path[-1]] = tried.get(path[-1], 0) + 1
+        return moved
+
+    def cut_bound(self) -> float:
+        """The largest total that the least cut of the last flow lets through: a bound from above on what can be met."""
+        first = len(self.patterns)
+        reached, queue = set(i for i, n in enumerate(self.left) if n > 0), [i for i, n in enumerate(self.left) if n > 0]
+        while queue:
+            a = queue.pop()
+            for b in (self.sources[a] if a < first else self.holders[a - first]):
+                if b not in reached and (self._room(a, b) > 0 if a < first else self.flow[b].get(a, 0) > 0):
+                    reached.add(b)
+                    queue.append(b)
+        beyond = [k for k in range(len(self.targets)) if first + k not in reached]
+        through = sum(self.sizes[i] * self.targets[k].repeats if i in reached else 0 for k in beyond for i in self.holders[k])
+        through += sum(self.sizes[i] * self.uses[i] for i in range(first) if i not in reached)
+        return through / sum(self.targets[k].share for k in beyond)
+
+
 def route(capacity: dict[tuple[str, ...], int], targets: list[Target], total: int) -> tuple[dict[tuple[tuple[str, ...], str], int], bool]:
     """Tokens of each (pattern, source) at the least repetition cost, and whether every quota of this total is met."""
-    patterns, by = list(capacity), {t.source: i for i, t in enumerate(targets)}
-    s, sink, first = 0, 1, 2
-    flow = MinCostFlow(first + len(patterns) + len(targets))
-    arcs, quota = {}, 0
-    for i, t in enumerate(targets):
-        q = int(t.share * total)
-        quota += q
-        flow.add(first + len(patterns) + i, sink, q, 0)
-    for i, p in enumerate(patterns):
-        for use in range(max(targets[by[x]].repeats for x in p)):
-            flow.add(s, first + i, capacity[p], use * use)
-        for x in p:
-            arcs[p, x] = flow.add(first + i, first + len(patterns) + by[x], capacity[p] * targets[by[x]].repeats, 0)
-    met = flow.run(s, sink) == quota
-    return {k: flow.arcs[e ^ 1][1] for k, e in arcs.items() if flow.arcs[e ^ 1][1] > 0}, met
+    net = Network(capacity, targets)
+    met, first = net.solve(total), len(capacity)
+    return {(p, targets[n - first].source): f for p, flow in zip(net.patterns, net.flow) for n, f in flow.items() if f > 0}, met
 
 
 def largest_total(capacity: dict[tuple[str, ...], int], targets: list[Target]) -> int:
-    """The largest total whose quotas can all be met."""
-    lo, hi = 0, 1 + sum(n * max(t.repeats for t in targets) for n in capacity.values()) * 2
-    while lo + 1 < hi:
-        mid = (lo + hi) // 2
-        lo, hi = (mid, hi) if route(capacity, targets, mid)[1] else (lo, mid)
-    return lo
+    """The largest total whose quotas can all be met, but for the rounding of quotas.
+
+    Each flow that falls short gives a cut, and the cut a smaller total, so a few flows (no more than sources, as each
+    cut has fewer of them to bound) lead to the largest one.
+    """
+    if not capacity or not targets:
+        return 0
+    net = Network(capacity, targets)
+    total = sum(n * u for n, u in zip(net.sizes, net.uses)) / sum(t.share for t in targets)
+    while not net.solve(total):
+        bound = net.cut_bound()
+        # Quotas are rounded down, so a cut may bound no more than the total itself: one token less then.
+        total = bound if bound < total * (1 - 1e-12) else total - 1
+    return int(total)
 
 
 def select_mix(docs: DataFrame, key: str, text: str, source: str, targets: DataFrame, total: int | None = None, seed: int = 7, name: str = "byte_bpe_50k", folder: str = VOCABULARIES) -> DataFrame:
@@ -122,8 +188,9 @@ def select_mix(docs: DataFrame, key: str, text: str, source: str, targets: DataF
 
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("_x"))
     rows = rows.where(F.col("source").isin([g.source for g in goals]) & (F.length("_x") > 0)).withColumn("_h", F.md5("_x"))
-    sized = with_token_count(rows, "_x", "n", name, folder)
-    items = sized.groupBy("_h").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.array_sort(F.collect_set("source")).alias("_p")).where("n > 0")
+    # Copies of a text meet before it is tokenized, so each text is tokenized once.
+    texts = rows.groupBy("_h").agg(F.min("doc_id").alias("doc_id"), F.first("_x").alias("_x"), F.array_sort(F.collect_set("source")).alias("_p"))
+    items = with_token_count(texts, "_x", "n", name, folder).where("n > 0")
     items = cut(items.select("doc_id", "n", F.to_json("_p").alias("pattern"), F.xxhash64(F.lit(seed), "_h").alias("_r")))
 
     sums = items.groupBy("pattern").agg(F.sum("n").alias("n"), F.from_json(F.first("pattern"), "array<string>").alias("p")).limit(MOST_PATTERNS + 1).collect()
@@ -146,7 +213,8 @@ def select_mix(docs: DataFrame, key: str, text: str, source: str, targets: DataF
     sums = sums.withColumn("_before", F.coalesce(F.sum("_s").over(W.partitionBy("pattern").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     inside = F.sum("n").over(W.partitionBy("pattern", "_b").orderBy("_r", "doc_id").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")
     placed = items.withColumn("_in", inside).join(sums.select("pattern", "_b", "_before"), ["pattern", "_b"]).withColumn("_at", F.col("_before") + F.col("_in"))
-    owned = placed.join(F.broadcast(spark.createDataFrame(spans, schema)), "pattern")
+    owners = spark.createDataFrame(spans, schema)
+    owned = placed.join(F.broadcast(owners) if len(spans) <= BROADCAST_ROWS else owners.hint("merge"), "pattern")
     # Laps k with lo <= at + k * lap < hi.
     upto = lambda x: F.greatest(F.lit(0), F.ceil((F.col(x) - F.col("_at")) / F.col("lap"))).cast("bigint")
     return owned.withColumn("uses", upto("hi") - upto("lo")).where("uses > 0").select("doc_id", "source", "uses", F.col("n").alias("tokens"))

@@ -5,7 +5,7 @@ piece's byte positions stores the leftmost minimum rank of the pairs of live nei
 the pair and makes at most three point updates of logarithmic cost, so one endless piece of n bytes takes
 O(n log n). Short pieces repeat, so each worker keeps a bounded memo of them.
 
-The vocabulary's path is a parameter of the driver; its bytes (under 2 MB, checked) are broadcast, so executors need
+The vocabulary's path is a parameter of the driver; its bytes (at most 8 MB, checked) are broadcast, so executors need
 no file. Null and empty texts have the ids ``[]``. Special tokens are never produced, their strings are ordinary text.
 """
 
