@@ -82,16 +82,18 @@ def _turns(right: pd.Series, read: pd.Series) -> pd.Series:
     return pd.Series([turns_into(a, b) for a, b in zip(right, read)], dtype=bool)
 
 
-def page_lines(pages: DataFrame) -> DataFrame:
-    """page_id, field_name, ref, page_number, line_no, line of both fields of pages, one copy of each record."""
+def page_rows(pages: DataFrame) -> DataFrame:
+    """page_id, field_name, ref, page_number, lines of both fields of pages, one copy of each record; lines holds the number and the
+    text of the lines that aren't blank, look-alike characters unified."""
     fields = F.inline(F.array(F.struct(F.lit("text").alias("field_name"), F.col("text").alias("_x")), F.struct(F.lit("extracted_text").alias("field_name"), F.col("extracted_text").alias("_x"))))
     ref = F.concat_ws("\u0001", F.coalesce("vault_key", F.lit("")), F.coalesce("ref_path", F.lit("")))
     rows = pages.where("page_id is not null").select(F.col("page_id").cast("bigint").alias("page_id"), ref.alias("ref"), F.col("page_number").cast("int").alias("page_number"), fields)
     rows = rows.where(F.col("_x").rlike(r"[^\s\p{Z}]")).dropDuplicates(["page_id", "field_name"])
-    rows = with_canonical(rows, "_x", "_c")
     # A soft hyphen is a character without width, but at a line's end it is a cut mark: the canonical form drops it.
-    lines = rows.select("page_id", "field_name", "ref", "page_number", F.posexplode(F.split("_c", "\n")).alias("_p", "_l"))
-    return lines.select("page_id", "field_name", "ref", "page_number", (F.col("_p") + 1).cast("bigint").alias("line_no"), F.regexp_replace("_l", r"^[\s\p{Z}]+|(?<![\s\p{Z}])[\s\p{Z}]++$", "").alias("line"))
+    rows = with_canonical(rows, "_x", "_c")
+    bare = lambda x: F.regexp_replace(x, r"^[\s\p{Z}]+|(?<![\s\p{Z}])[\s\p{Z}]++$", "")
+    lines = F.transform(F.split("_c", "\n"), lambda x, i: F.struct((i + 1).cast("bigint").alias("line_no"), bare(x).alias("line")))
+    return rows.select("page_id", "field_name", "ref", "page_number", F.filter(lines, lambda x: x["line"] != "").alias("lines"))
 
 
 def _number(text: Column) -> Column:
@@ -100,81 +102,96 @@ def _number(text: Column) -> Column:
     return F.when(text.rlike(r"^[0-9lIi|OoSsBZ]{1,4}$") & text.rlike(r"[0-9]|^[lI|OS]+$"), digits.try_cast("int"))
 
 
-def edge_lines(lines: DataFrame, titles: DataFrame | None = None, least_pages: int = 2) -> DataFrame:
-    """lines with ``edge``: ``header``, ``page_number`` or null for running text and blank lines.
+def edge_lines(rows: DataFrame, titles: DataFrame | None = None, least_pages: int = 2) -> DataFrame:
+    """page_id, field_name, edges of pages (see page_rows) that have any: the numbers of the lines that are no running text, each with
+    its kind, ``header`` or ``page_number``. Only the two outer lines on either side of a page are looked at.
 
     titles: ref, title of the references' metadata, which makes a header of a line that occurs on one page only.
     """
-    page = W.partitionBy("page_id", "field_name")
-    filled = lines.where("line <> ''")
-    ranked = filled.withColumns({"_top": F.row_number().over(page.orderBy("line_no")), "_end": F.row_number().over(page.orderBy(F.desc("line_no")))})
-    low = F.lower("line")
+    n, at = F.size("lines"), lambda i: F.get("lines", i - 1)
+    outer = F.transform(F.filter(F.sequence(F.lit(1), n), lambda i: (i <= 2) | (i > n - 2)), lambda i: F.struct(i.alias("_top"), (n - i + 1).alias("_end"), at(i)["line_no"].alias("line_no"), at(i)["line"].alias("line")))
+    lines = rows.where(n > 0).select("page_id", "field_name", "ref", "page_number", F.inline(outer))
     bare = F.regexp_replace("line", r"^(?i:page|seite|p\.|pg\.|s\.)\s*", "")
     bare = F.regexp_replace(bare, r"\s*(?i:of|von|/)\s*[0-9lIi|OoSs]{1,4}$", "")
     bare = F.regexp_replace(F.regexp_replace(bare, r"^[^\p{L}\p{N}|]+|[^\p{L}\p{N}|]+$", ""), r"^(?i:page|seite|p\.|pg\.|s\.)\s*", "")
     shape = F.col("line").rlike(r"^[\s\[\](){}·•.|\-–—_*~=]*(?i:page|seite|p\.|pg\.|s\.)?\s*[\p{L}\p{N}|]{1,7}(?i:\s*(?:of|von|/)\s*[0-9li|os]{1,4})?[\s\[\](){}·•|\-–—_*~=]*$")
     number = F.coalesce(_number(bare), F.when(F.lower(bare).rlike(rf"^{_ROMAN}$") & (bare != ""), F.lit(0)))
-    page_at = F.coalesce(F.col("page_number"), number)
+    # The number is read off lines of its shape only; those are short.
+    lines = lines.withColumn("_shape", shape).withColumns({"_bare": F.when(F.col("_shape"), bare), "_number": F.when(F.col("_shape"), number)})
+    page_at = F.coalesce(F.col("page_number"), F.col("_number"))
     # All digits misread as letters count only near the page's own number.
-    near = (number == 0) | (bare.rlike("[0-9]") & (number <= page_at + 50)) | (F.abs(number - page_at) <= 30)
-    is_number = shape & number.isNotNull() & near
+    near = (F.col("_number") == 0) | (F.col("_bare").rlike("[0-9]") & (F.col("_number") <= page_at + 50)) | (F.abs(F.col("_number") - page_at) <= 30)
+    is_number = F.coalesce(F.col("_shape") & F.col("_number").isNotNull() & near, F.lit(False))
     # The masked line: outer numbers and separators away, then by strokes.
-    title = F.regexp_replace(low, rf"^(?:[0-9]{{1,4}}|[ivxlc]{{1,6}})\s*(?:[·•|–—\-]\s*|\s{{2,}}|\s)|(?:\s*[·•|–—\-]\s*|\s{{2,}}|\s)(?:[0-9il|o]{{1,4}}|[ivxlc]{{1,6}})$", "")
-    ranked = ranked.withColumns({"_num": is_number, "_mask": F.regexp_replace(strokes(title), r"[^\p{L}\p{N}]+", " ")})
-    # No title is as long as this; it keeps the patterns below off endless lines.
-    outer = ((F.col("_top") <= 2) | (F.col("_end") <= 2)) & (F.length("line") <= 300)
-    edges = ranked.where(outer & ~F.col("_num") & (F.length("_mask") >= 6) & ~F.col("line").rlike(r"[.!?…;:,]$"))
-    repeated = edges.groupBy("ref", "_mask").agg(F.count_distinct("page_id").alias("_pages")).where(F.col("_pages") >= least_pages)
+    title = F.regexp_replace(F.lower("line"), rf"^(?:[0-9]{{1,4}}|[ivxlc]{{1,6}})\s*(?:[·•|–—\-]\s*|\s{{2,}}|\s)|(?<!\s)(?:\s*[·•|–—\-]\s*|\s{{2,}}|\s)(?:[0-9il|o]{{1,4}}|[ivxlc]{{1,6}})$", "")
+    open_end = ~F.col("line").rlike(r"[.!?…;:,\-¬=]$")
+    lines = lines.withColumn("_num", is_number).withColumn("_mask", F.when(open_end & ~F.col("_num"), F.xxhash64(_masked(title))))
+    lines = cut(lines.select("page_id", "field_name", "ref", "line_no", "line", "_top", "_end", "_num", "_mask", open_end.alias("_open")))
+    repeated = lines.where("_mask is not null").groupBy("ref", "_mask").agg(F.count_distinct("page_id").alias("_pages")).where(F.col("_pages") >= least_pages)
     # A title that comes back in one reference is a title wherever it stands at an edge.
     known = repeated.select("_mask").distinct().withColumn("_known", F.lit(True))
-    ranked = ranked.join(bounded(known), "_mask", "left")
+    lines = lines.join(bounded(known), "_mask", "left")
     if titles is not None:
-        named = titles.where("title is not null").select("ref", F.trim(F.regexp_replace(strokes(F.col("title")), r"[^\p{L}\p{N}]+", " ")).alias("_mask")).where(F.length("_mask") >= 6)
-        ranked = ranked.join(named.distinct().withColumn("_named", F.lit(True)), ["ref", "_mask"], "left")
+        named = titles.where("title is not null").select("ref", F.xxhash64(_masked(F.col("title"))).alias("_mask")).where("_mask is not null").distinct()
+        lines = lines.join(bounded(named.withColumn("_named", F.lit(True))), ["ref", "_mask"], "left")
     else:
-        ranked = ranked.withColumn("_named", F.lit(None).cast("boolean"))
-    # Without another occurrence a line is a title by its look: all in capitals, or every longer word with a capital.
-    capitals = ~F.col("line").rlike(r"\p{Ll}") & F.col("line").rlike(r"\p{Lu}+[^\p{L}]+.*\p{Lu}{2,}")
-    cased = ~F.col("line").rlike(r"(?<![\p{L}\p{N}@|'’\-])\p{Ll}[\p{L}\p{N}@|]{4,}") & F.col("line").rlike(r"(?:^|\s)[\p{Lu}0-9|][\p{L}\p{N}@|]{3,}.*\s[\p{Lu}0-9|][\p{L}\p{N}@|]{3,}")
-    is_title = outer & ~F.col("_num") & ~F.col("line").rlike(r"[.!?…;:,\-¬=]$") & (F.coalesce("_known", "_named", F.lit(False)) | capitals | cased)
-    first = F.col("_top") == 1
-    ranked = ranked.withColumn("_edge", F.when(is_title, "header").when(is_number & outer, "page_number"))
+        lines = lines.withColumn("_named", F.lit(None).cast("boolean"))
+    # Without another occurrence a line is a title by its look: all in capitals, or every longer word with a capital. What
+    # begins such a line is taken once, so these patterns are linear over endless lines.
+    capitals = ~F.col("line").rlike(r"\p{Ll}") & F.col("line").rlike(r"^(?>.*?\p{Lu}[^\p{L}]).*\p{Lu}\p{Lu}")
+    cased = ~F.col("line").rlike(r"(?<![\p{L}\p{N}@|'’\-])\p{Ll}[\p{L}\p{N}@|]{4,}") & F.col("line").rlike(r"^(?>.*?(?:^|\s)[\p{Lu}0-9|][\p{L}\p{N}@|]{3}).*\s[\p{Lu}0-9|][\p{L}\p{N}@|]{3}")
+    is_title = ~F.col("_num") & F.col("_open") & (F.coalesce("_known", "_named", F.lit(False)) | capitals | cased)
+    lines = lines.withColumn("_edge", F.when(is_title, "header").when(F.col("_num"), "page_number")).where("_edge is not null")
     # The second line from an edge counts only if the first is no running text itself.
-    top1 = F.max(F.when(first, F.col("_edge"))).over(page)
-    end1 = F.max(F.when(F.col("_end") == 1, F.col("_edge"))).over(page)
-    ok = first | (F.col("_end") == 1) | ((F.col("_top") == 2) & top1.isNotNull()) | ((F.col("_end") == 2) & end1.isNotNull())
-    return ranked.withColumn("edge", F.when(ok, F.col("_edge"))).drop("_top", "_end", "_num", "_mask", "_known", "_named", "_edge")
+    held = lines.groupBy("page_id", "field_name").agg(F.collect_list(F.struct("line_no", F.col("_edge").alias("edge"), "_top", "_end")).alias("_l"))
+    first, last = F.exists("_l", lambda x: x["_top"] == 1), F.exists("_l", lambda x: x["_end"] == 1)
+    ok = F.filter("_l", lambda x: (x["_top"] == 1) | (x["_end"] == 1) | ((x["_top"] == 2) & first) | ((x["_end"] == 2) & last))
+    return held.select("page_id", "field_name", F.transform(ok, lambda x: F.struct(x["line_no"].alias("line_no"), x["edge"].alias("edge"))).alias("edges")).where(F.size("edges") > 0)
+
+
+def _masked(title: Column) -> Column:
+    """A title's strokes with single spaces between its words; null if it is too short to tell titles apart."""
+    out = F.trim(F.regexp_replace(strokes(title), r"[^\p{L}\p{N}]+", " "))
+    return F.when(F.length(out) >= 6, out)
 
 
 def _words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(rf"([{_LETTER}]*[\p{{L}}@][{_LETTER}]*)"), F.lit(1))
 
 
-def running_text(lines: DataFrame) -> DataFrame:
-    """The running text lines with what is cut at their ends.
+def running_text(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """The running text lines of pages with what is cut at their ends.
 
     ``_mark`` the cut mark that ends the line, ``_tail`` the piece of the last word before it, ``_next`` the first piece of
-    the next running line, ``_inner`` the line without its cut pieces.
+    the next running line, ``_inner`` the line without its cut pieces, ``_w`` its words in lower case. Neighbours of the same page
+    come from the page's own array of lines; only pages' ends meet in a join.
     """
-    text = lines.where("edge is null and line <> ''")
-    mark = F.regexp_extract("line", rf"[\p{{L}}\p{{N}}@|!]([{CUT_MARKS}])$", 1)
-    text = text.withColumns({"_mark": mark, "_tail": F.when(mark != "", F.regexp_extract("line", rf"([{_LETTER}]+)[{CUT_MARKS}]$", 1)), "_head": F.regexp_extract("line", rf"^[^{_LETTER}]*([{_LETTER}]+)", 1)})
-    order = W.partitionBy("page_id", "field_name").orderBy("line_no")
-    text = text.withColumns({"_nx": F.lead("_head").over(order), "_pm": F.lag("_mark").over(order), "_first": F.row_number().over(order) == 1, "_last": F.lead("line_no").over(order).isNull()})
+    pages = rows.join(edges, ["page_id", "field_name"], "left")
+    kept = F.filter("lines", lambda x: ~F.coalesce(F.exists("edges", lambda e: e["line_no"] == x["line_no"]), F.lit(False)))
+    pages = pages.select("page_id", "field_name", "ref", "page_number", kept.alias("_k")).where(F.size("_k") > 0)
+    at = lambda i: F.get("_k", i)
+    each = F.transform(F.sequence(F.lit(0), F.size("_k") - 1), lambda i: F.struct(at(i)["line_no"].alias("line_no"), at(i)["line"].alias("line"), at(i - 1)["line"].alias("_pl"), at(i + 1)["line"].alias("_nl")))
+    text = pages.select("page_id", "field_name", "ref", "page_number", F.inline(each))
+    mark = lambda c: F.regexp_extract(F.right(c, F.lit(2)), rf"[\p{{L}}\p{{N}}@|!]([{CUT_MARKS}])$", 1)
+    head = lambda c: F.regexp_extract(c, rf"^[^{_LETTER}]*([{_LETTER}]+)", 1)
+    text = text.withColumns({"_mark": mark(F.col("line")), "_first": F.col("_pl").isNull(), "_last": F.col("_nl").isNull()})
     # The next page's first and the previous page's last running line, of the same field if it has one, else of text.
-    firsts = text.where("_first").select("ref", "page_number", F.struct((F.col("field_name") == "text").alias("t"), F.col("page_id").alias("i"), F.col("_head").alias("h"), F.col("field_name").alias("f")).alias("_s"))
-    firsts = firsts.groupBy("ref", (F.col("page_number") - 1).alias("page_number")).agg(F.max("_s").alias("_np"))
-    lasts = text.where("_last").groupBy("ref", (F.col("page_number") + 1).alias("page_number")).agg(F.max(F.struct((F.col("field_name") == "text").alias("t"), F.col("page_id").alias("i"), F.col("_mark").alias("m"))).alias("_pp"))
+    end = lambda c, name: F.max(F.struct((F.col("field_name") == "text").alias("t"), F.col("page_id").alias("i"), c.alias(name), F.col("field_name").alias("f")))
+    firsts = pages.groupBy("ref", (F.col("page_number") - 1).alias("page_number")).agg(end(head(at(F.lit(0))["line"]), "h").alias("_np"))
+    lasts = pages.groupBy("ref", (F.col("page_number") + 1).alias("page_number")).agg(end(mark(F.element_at("_k", -1)["line"]), "m").alias("_pp"))
     text = text.join(firsts, ["ref", "page_number"], "left").join(lasts, ["ref", "page_number"], "left")
-    text = text.withColumns({"_next": F.when(F.col("_last"), F.col("_np.h")).otherwise(F.col("_nx")), "_cut_before": F.when(F.col("_first"), F.coalesce(F.col("_pp.m"), F.lit(""))).otherwise(F.coalesce("_pm", F.lit(""))) != ""})
+    text = text.withColumns({
+        "_tail": F.when(F.col("_mark") != "", F.regexp_extract("line", rf"([{_LETTER}]+)[{CUT_MARKS}]$", 1)), "_next": F.when(F.col("_last"), F.col("_np.h")).otherwise(head(F.col("_nl"))),
+        "_cut_before": F.when(F.col("_first"), F.coalesce(F.col("_pp.m"), F.lit(""))).otherwise(mark(F.col("_pl"))) != "",
+    })
     inner = F.when(F.col("_mark") != "", F.regexp_replace("line", rf"[{_LETTER}]+[{CUT_MARKS}]$", "")).otherwise(F.col("line"))
     inner = F.when(F.col("_cut_before"), F.regexp_replace(inner, rf"^[^{_LETTER}]*[{_LETTER}]+", "")).otherwise(inner)
-    return text.withColumn("_inner", inner).drop("_nx", "_pm", "_np", "_pp", "_head")
+    return text.withColumn("_inner", inner).withColumn("_w", _words(F.lower("_inner"))).drop("_pl", "_nl", "_np", "_pp")
 
 
 def word_counts(text: DataFrame) -> DataFrame:
     """word, n: how often each word occurs in running text, in lower case, cut pieces aside."""
-    return text.select(F.explode(F.transform(_words(F.col("_inner")), F.lower)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return text.select(F.explode("_w").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def misreadings(text: DataFrame, counts: DataFrame, ratio: int = 12, supported: int = 4, least: int = 3) -> DataFrame:
@@ -192,7 +209,7 @@ def misreadings(text: DataFrame, counts: DataFrame, ratio: int = 12, supported:
     sure, doubtful = pairs.where(clear), pairs.where(~clear).select("word", "right", "n", "rn")
     # The neighbours are needed of the doubtful forms and their counterparts only.
     asked = doubtful.select(F.explode(F.array("word", "right")).alias("word")).distinct()
-    words = text.select(F.transform(_words(F.col("_inner")), F.lower).alias("_w"))
+    words = text.select("_w")
     near = F.transform("_w", lambda x, i: F.struct(x.alias("word"), F.coalesce(F.get("_w", i - 1), F.lit("")).alias("l"), F.coalesce(F.get("_w", i + 1), F.lit("")).alias("r")))
     seen = words.select(F.explode(near).alias("_n")).select("_n.word", "_n.l", "_n.r").join(bounded(asked), "word", "left_semi").groupBy("word", "l", "r").agg(F.count(F.lit(1)).alias("c"))
     at = doubtful.select("word", "right").join(seen, "word")
@@ -221,30 +238,31 @@ def cut_words(text: DataFrame, counts: DataFrame, least: int = 2) -> DataFrame:
 
 
 def _prepared(pages: DataFrame, cache: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Lines with their edges, running text, word counts; each is written once, as several steps read it."""
+    """Edges of pages, running text, word counts; each is written once, as several steps read it."""
     titles = None
     if cache is not None:
         titles = cache.select(F.concat_ws("\u0001", F.coalesce("vault_key", F.lit("")), F.coalesce("ref_path", F.lit(""))).alias("ref"), "title")
-    lines = cut(edge_lines(cut(page_lines(pages)), titles))
-    text = cut(running_text(lines))
-    return lines, text, cut(word_counts(text))
+    rows = cut(page_rows(pages))
+    edges = cut(edge_lines(rows, titles))
+    text = cut(running_text(rows, edges))
+    return edges, text, cut(word_counts(text))
 
 
 def found_noise(pages: DataFrame, cache: DataFrame | None = None) -> DataFrame:
     """(page_id, field_name, line_no, kind): one row per noisy line and kind of noise in it."""
-    lines, text, counts = _prepared(pages, cache)
+    edges, text, counts = _prepared(pages, cache)
     key = ("page_id", "field_name", "line_no")
-    edges = lines.where("edge is not null").select(*key, F.col("edge").alias("kind"))
+    outer = edges.select("page_id", "field_name", F.inline("edges")).select(*key, F.col("edge").alias("kind"))
     cuts = cut_words(text, counts).withColumn("kind", F.lit("hyphen"))
-    words = text.select(*key, F.explode(F.array_distinct(F.transform(_words(F.col("_inner")), F.lower))).alias("word"))
+    words = text.select(*key, F.explode(F.array_distinct("_w")).alias("word"))
     wrong = words.join(bounded(misreadings(text, counts).select("word")), "word", "left_semi").select(*key).distinct().withColumn("kind", F.lit("misread"))
-    return edges.unionByName(cuts).unionByName(wrong)
+    return outer.unionByName(cuts).unionByName(wrong)
 
 
 def _corrected(text: DataFrame, wrong: DataFrame) -> DataFrame:
     """page_id, field_name, line_no, fixed: the lines that hold misread words, with these put right (first letter's case kept)."""
     key = ("page_id", "field_name", "line_no")
-    parts = text.select(*key, F.explode(F.array_distinct(F.transform(_words(F.col("_inner")), F.lower))).alias("word")).join(bounded(wrong), "word", "left_semi")
+    parts = text.select(*key, F.explode(F.array_distinct("_w")).alias("word")).join(bounded(wrong), "word", "left_semi")
     lines = text.select(*key, "line").join(parts.select(*key).distinct(), list(key), "left_semi")
     pieces = lines.select(*key, F.posexplode(F.regexp_extract_all("line", F.lit(rf"([{_LETTER}]+|[^{_LETTER}]+)"), F.lit(1))).alias("_i", "_v"))
     pieces = pieces.withColumn("word", F.lower("_v")).join(bounded(wrong), "word", "left")
