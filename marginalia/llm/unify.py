@@ -14,7 +14,8 @@ Kinds
 ``lookalike``  a foreign letter inside an otherwise Latin word
 
 Whole words of another script, and signs that look different from plain text (powers, fractions, number signs,
-typographic quotes and dots, roman or circled numerals), stay as they are and are no case. Null and empty texts have
+typographic quotes and dots, roman or circled numerals), stay as they are and are no case; the canonical form is composed
+throughout (NFC), so canonically equal texts have one form. Null and empty texts have
 no case; a text of any length is one pass.
 """
 
@@ -39,7 +40,9 @@ LOOKALIKES = {
     "k": "κк", "l": "ӏ", "m": "м", "n": "ոп", "o": "оοօ", "p": "рρ", "q": "ԛզ", "r": "гᴦ", "s": "ѕ", "t": "тτ", "u": "υս", "v": "νѵ", "w": "ԝѡա", "x": "хχ",
     "y": "уγү", "z": "ᴢ",
 }
-_LATIN_OF = {c: latin for latin, chars in LOOKALIKES.items() for c in chars}
+# Letters of the Lisu script that look like Latin capitals.
+LISU = {"A": "ꓮ", "B": "ꓐ", "C": "ꓚ", "D": "ꓓ", "E": "ꓰ", "F": "ꓝ", "G": "ꓖ", "H": "ꓧ", "I": "ꓲ", "J": "ꓙ", "K": "ꓗ", "L": "ꓡ", "M": "ꓟ", "N": "ꓠ", "O": "ꓳ", "P": "ꓑ", "R": "ꓣ", "S": "ꓢ", "T": "ꓔ", "U": "ꓴ", "V": "ꓦ", "W": "ꓪ", "X": "ꓫ", "Y": "ꓬ", "Z": "ꓜ"}
+_LATIN_OF = {c: latin for table in (LOOKALIKES, LISU) for latin, chars in table.items() for c in chars}
 
 # Ranges of characters without width (default ignorable code points).
 INVISIBLE = (
@@ -51,7 +54,7 @@ EMOJI = ((0x23, 0x23), (0x2A, 0x2A), (0x30, 0x39), (0xA9, 0xA9), (0xAE, 0xAE), (
 
 # Ranges that hold no unstable character. The quick check looks for anything beyond them: few ranges keep it
 # cheap, and what it passes on needlessly is settled by the exact classes.
-STABLE = ((0x00, 0x7F), (0xA1, 0xAC), (0xAE, 0x17E), (0x2010, 0x2027), (0x2030, 0x205E), (0x2190, 0x2BFF), (0x3001, 0x3029), (0x3030, 0x3098), (0x309B, 0x3130), (0x3190, 0x9FFF), (0xAC00, 0xD7A3), (0x1F000, 0x1FAFF))
+STABLE = ((0x00, 0x7F), (0xA1, 0xAC), (0xAE, 0x17E), (0x2010, 0x2027), (0x2030, 0x205E), (0x2190, 0x2328), (0x232B, 0x2ADB), (0x2ADD, 0x2BFF), (0x3001, 0x3029), (0x3030, 0x3098), (0x309B, 0x3130), (0x3190, 0x9FFF), (0xAC00, 0xD7A3), (0x1F000, 0x1FAFF))
 
 _FORM_TAGS = ("<wide>", "<narrow>", "<font>", "<initial>", "<medial>", "<final>", "<isolated>")
 
@@ -93,15 +96,34 @@ def _properties() -> tuple[dict[str, str], str, list[int]]:
     return forms, form_class, every
 
 
+@cache
+def unsettled() -> list[int]:
+    """The code points whose quick check for the composed form isn't Yes: those that it changes, and those that may join or
+    move before what precedes them (marks, second characters of composites, vowels and final consonants of Hangul)."""
+    seconds = set(range(0x1161, 0x1176)) | set(range(0x11A8, 0x11C3))
+    out = []
+    for p in (*range(0xA0, 0xD800), *range(0xE000, 0x30000)):
+        parts = unicodedata.decomposition(chr(p)).split()
+        if len(parts) == 2 and parts[0][0] != "<":
+            seconds.add(int(parts[1], 16))
+        if unicodedata.combining(chr(p)) or not unicodedata.is_normalized("NFC", chr(p)):
+            out.append(p)
+    return sorted({*out, *seconds})
+
+
 def unstable(col: Column) -> Column:
     """Whether a text holds any character that the operator may have to touch: the quick check."""
     return col.rlike(f"[^{_class(STABLE, java=True)}]")
 
 
 class Unifier:
-    """Segment-wise canonical form of one text."""
+    """Segment-wise canonical form of one text.
+
+    latin_of: letters that look like a Latin one, with that one; any public table of confusable letters can be given.
+    """
 
-    def __init__(self) -> None:
+    def __init__(self, latin_of: dict[str, str] | None = None) -> None:
+        self.latin_of = latin_of = _LATIN_OF if latin_of is None else latin_of
         self.forms, form_class, _ = _properties()
         invisible, emoji = _class(INVISIBLE), _class(EMOJI)
         self.form = regex.compile(f"[{form_class}]+")
@@ -111,7 +133,10 @@ class Unifier:
         )
         self.space = regex.compile(r"[^\P{Zs} ]")
         self.accent = regex.compile(r"\p{L}\p{M}+")
-        keys = "".join(_LATIN_OF)
+        # A segment is a character with all that may compose with it or that its composed form changes.
+        loose = _class(_ranges(unsettled()))
+        self.loose = regex.compile(f"[^{loose}]?[{loose}]+")
+        keys = "".join(latin_of)
         self.foreign = regex.compile(f"[{keys}]")
         self.word = regex.compile(r"[\p{L}\p{M}]+")
         self.latin = regex.compile(rf"(?![{keys}])\p{{Latin}}")
@@ -120,6 +145,7 @@ class Unifier:
     def __call__(self, text: str) -> tuple[str, list[str]]:
         """The canonical form of a text and the kinds of disguise found in it."""
         kinds: set[str] = set()
+        latin_of = self.latin_of
 
         def drop(m: regex.Match) -> str:
             if m["kept"]:
@@ -146,12 +172,14 @@ class Unifier:
             if not self.foreign.search(word) or not self.latin.search(word) or self.other.search(word):
                 return word
             kinds.add("lookalike")
-            return self.foreign.sub(lambda x: _LATIN_OF[x[0]], word)
+            return self.foreign.sub(lambda x: latin_of[x[0]], word)
 
         text = self.invisible.sub(drop, text)
         text = self.form.sub(letters, text)
         text = self.space.sub(blank, text)
         text = self.accent.sub(compose, text)
+        # What is left, such as signs with one composed form or letters of other scripts, is no disguise but has one form too.
+        text = self.loose.sub(lambda m: unicodedata.normalize("NFC", m[0]), text)
         if self.foreign.search(text):
             text = self.word.sub(latin, text)
         return text, sorted(kinds)
