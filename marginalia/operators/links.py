@@ -79,12 +79,47 @@ def resolve_links(links: DataFrame, files: DataFrame) -> DataFrame:
     return hits.select("link_id", "match", F.row_number().over(best).alias("rank"))
 
 
-def backlinks(notes: DataFrame, files: DataFrame) -> DataFrame:
-    """target, path, raw, is_embed: every link of a ``.md`` note whose best match is target. Repeats and self-links stay."""
+def best_matches(links: DataFrame, files: DataFrame) -> DataFrame:
+    """source, target, match: of each different pair of links (source, target) the file (path) that ``resolve_links`` ranks first.
+
+    Files leave their best candidate (shorter path, then path) under every folder above them, by each key they can be asked
+    by; a link looks up its own folders, and the deepest with a candidate wins. So a name that many files bear and many links
+    ask for is met once for each link and folder, never file by link.
+    """
+    parts = lambda c: F.filter(F.split(F.coalesce(c, F.lit("")), "/"), lambda x: x != "")
+    above = lambda p: F.transform(F.sequence(F.lit(0), F.size(p)), lambda n: F.array_join(F.slice(p, F.lit(1), n), "/"))
+    name = F.lower(X.file_name(F.col("path")))
+    by_name = F.array(F.concat(F.lit("n|"), name), F.when(F.lower(X.extension(F.col("path"))) == "md", F.concat(F.lit("s|"), F.lower(X.stem(F.col("path"))))))
+    steps = F.split("path", "/")
+    by_path = F.when(F.size(steps) > 2, F.transform(F.sequence(F.lit(2), F.size(steps) - 1), lambda n: F.concat(F.lit("w|"), F.array_join(F.slice(steps, F.size(steps) - n + 1, n), "/"))))
+    keys = F.array_compact(F.concat(by_name, F.coalesce(by_path, F.array().cast("array<string>"))))
+    under = files.select("path", F.explode(keys).alias("_k"), parts(F.col("path")).alias("_p")).select("path", "_k", F.explode(above(F.col("_p"))).alias("_d"))
+    under = under.groupBy("_k", "_d").agg(F.min(F.struct(F.length("path").alias("n"), F.col("path").alias("match"))).alias("_b"))
+
+    asked = links.select("source", "target").distinct().withColumn("_t", parts(F.col("target"))).where(F.size("_t") > 0)
+    last = F.element_at("_t", -1)
+    ext = last.rlike(r"^.+\.[^.]+$")
+    looks = F.array_compact(F.array(F.concat(F.when(ext, "n|").otherwise("s|"), F.lower(last)), F.when(F.size("_t") > 1, F.concat(F.lit("w|"), "target", F.when(ext, "").otherwise(".md")))))
+    asked = asked.select("source", "target", F.explode(looks).alias("_k"), parts(F.col("source")).alias("_p")).select("source", "target", "_k", F.posexplode(above(F.col("_p"))).alias("_depth", "_d"))
+    # A target's own folders, where they lead to a file, go before its name alone.
+    order = F.struct(F.col("_k").startswith("w|").alias("whole"), "_depth")
+    return asked.join(under, ["_k", "_d"]).groupBy("source", "target").agg(F.max_by("_b.match", order).alias("match"))
+
+
+def backlinks(notes: DataFrame, files: DataFrame, only: str | None = None) -> DataFrame:
+    """target, path, raw, is_embed: every link of a ``.md`` note whose best match is target. Repeats and self-links stay.
+
+    only: one target; links that don't bear its name aren't resolved then.
+    """
     edges = extract_links(notes.where(F.lower(X.extension(F.col("path"))) == "md"))
-    edges = edges.withColumn("link_id", F.concat_ws("\u0001", "path", "pos"))
-    best = resolve_links(edges.select("link_id", F.col("path").alias("source"), "target"), files).where("rank = 1").select("link_id", "match")
-    return edges.join(best, "link_id").select(F.col("match").alias("target"), "path", "raw", "is_embed")
+    if only is not None:
+        name = only.rsplit("/", 1)[-1].lower()
+        names = [name, name.removesuffix(".md")] if name.endswith(".md") else [name]
+        edges = edges.where(F.lower(F.try_element_at(F.filter(F.split("target", "/"), lambda x: x != ""), F.lit(-1))).isin(names))
+    best = best_matches(edges.select(F.col("path").alias("source"), "target"), files)
+    best = best.select(F.col("source").alias("path"), F.col("target"), "match")
+    found = edges.join(best, ["path", "target"]).select(F.col("match").alias("target"), "path", "raw", "is_embed")
+    return found if only is None else found.where(F.col("target") == F.lit(only))
 
 
 def canonical_target(files: DataFrame, name: str) -> str | None:
@@ -101,4 +136,6 @@ def canonical_target(files: DataFrame, name: str) -> str | None:
 def find_backlinks(notes: DataFrame, files: DataFrame, name: str) -> DataFrame:
     """path, raw, is_embed of the links that lead to one file, by path and raw text."""
     target = canonical_target(files, name)
-    return backlinks(notes, files).where(F.col("target") == F.lit(target)).select("path", "raw", "is_embed").orderBy("path", "raw")
+    if target is None:
+        return backlinks(notes.limit(0), files).select("path", "raw", "is_embed")
+    return backlinks(notes, files, target).select("path", "raw", "is_embed").orderBy("path", "raw")

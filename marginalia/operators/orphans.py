@@ -4,8 +4,10 @@ References and file names become one stream of events by key: a file's addition
 time. The stream is co-partitioned and sorted by key and time and merged in one linear pass, where running sums over the
 files' validity intervals tell what a reference meets: ``live`` (no finding), else ``deleted``, else ``late``, else ``missing``.
 
-A key that holds a large part of all rows is split by month: a month's running sums start from what earlier months of
-its key add up to, which comes from sums already aggregated by key and month. So no task holds a key's whole history.
+A key that holds a large part of all rows is split by spans of thirty days, and such a span, where it holds many rows, by
+finer ones: a span's running sums start from what earlier spans of its key add up to, which comes from sums already
+aggregated by key and span. So no task holds a key's whole history, nor a hot month; only rows of one key at nearly the
+same instant meet in one.
 
 Names compare trimmed, NFC-composed and without case. A null or empty name, an external one (http, https, mailto) and
 a reference without time or id is none. A reference without vault meets only the files that all vaults share.
@@ -21,7 +23,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from marginalia.session import bounded, utc_date, utc_micros
+from marginalia.session import bounded, cut, utc_date, utc_micros
+
+#: Rows of one key in thirty days from which on these days are split, and parts they are split into at most.
+HOT_SPAN, MOST_PARTS = 20_000, 4096
+_SPAN = 30 * 86_400_000_000
 
 _EXTERNAL = r"(?i)^\s*(?:https?:|mailto:)"
 
@@ -59,15 +65,22 @@ def reference_states(references: DataFrame, files: DataFrame, shared: DataFrame)
     (microseconds); shared: file_path, added, deleted, of files that every vault has.
     """
     scoped = lambda: F.concat_ws("\u0001", "vault_key", "key")
-    bucket = F.floor(F.col("at") / F.lit(30 * 86_400_000_000)).cast("int")
+    month = F.floor(F.col("at") / F.lit(_SPAN)).cast("bigint")
     zero = F.lit(0).cast("bigint")
     sides = files.where("vault_key is not null and file_path is not null and added is not null").withColumn("key", F.explode(file_keys(fold_name(F.col("file_path")))))
     sides = sides.withColumn("key", scoped())
     sound = F.col("deleted").isNull() | (F.col("deleted") > F.col("added"))
     came = sides.select("key", F.col("added").alias("at"), F.when(sound, 1).otherwise(0).cast("bigint").alias("live"), zero.alias("gone"), F.lit(1).cast("bigint").alias("came"))
     went = sides.where("deleted is not null").select("key", F.col("deleted").alias("at"), F.when(sound, -1).otherwise(0).cast("bigint").alias("live"), F.lit(1).cast("bigint").alias("gone"), zero.alias("came"))
-    changes = came.unionByName(went).withColumn("bucket", bucket)
-    asked = references.withColumn("own", F.col("key")).withColumn("key", F.when(F.col("vault_key").isNotNull(), scoped()).otherwise(F.lit("\u0001"))).withColumn("bucket", bucket)
+    changes = cut(came.unionByName(went).withColumn("month", month))
+    asked = cut(references.withColumn("own", F.col("key")).withColumn("key", F.when(F.col("vault_key").isNotNull(), scoped()).otherwise(F.lit("\u0001"))).withColumn("month", month).drop("vault_key"))
+
+    # Thirty days of a key with many rows are cut into finer spans of equal length.
+    rows = changes.select("key", "month").unionByName(asked.select("key", "month")).groupBy("key", "month").agg(F.count(F.lit(1)).alias("_n"))
+    hot = bounded(rows.where(F.col("_n") > HOT_SPAN).select("key", "month", F.least(F.lit(MOST_PARTS), F.ceil(F.col("_n") / F.lit(HOT_SPAN)) * 4).cast("bigint").alias("_p")))
+    part = F.floor((F.col("at") - F.col("month") * F.lit(_SPAN)) / F.lit(_SPAN) * F.coalesce("_p", F.lit(1)))
+    spanned = lambda df: df.join(hot, ["key", "month"], "left").withColumn("bucket", (F.col("month") * F.lit(MOST_PARTS) + part).cast("bigint")).drop("_p", "month")
+    changes, asked = spanned(changes), spanned(asked)
 
     # What earlier buckets of a key add up to, and its additions in all, from sums by key and bucket.
     sums = changes.groupBy("key", "bucket").agg(F.sum("live").alias("live"), F.sum("gone").alias("gone"), F.sum("came").alias("came"), F.lit(0).alias("refs"))

@@ -23,7 +23,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marginalia.session import bounded
+from marginalia.session import BROADCAST_ROWS, bounded, cut
+
+#: Rules of the most frequent skeletons that are broadcast where there are too many skeletons for all.
+FREQUENT_RULES = 10_000
 
 _SPACE = r"[[^\S\n\t]\p{Z}]++"
 _SPECIAL = r"\[\]\"'“”‘’\\;；|,，、/•·#*\-\n\t"
@@ -161,17 +164,23 @@ def _item_text(parts: Column, rule: Column, tags: Column) -> Column:
     return F.when(tags, F.regexp_replace(raw, r"^#+\s*", "")).otherwise(raw)
 
 
-def split_packed(fields: DataFrame) -> DataFrame:
+def split_packed(fields: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(…, field_name, pos, item) of rows (…, field_name, mode, value): one row per packed value, in order.
 
     mode is ``tags``, ``people`` or ``list``. Other columns are kept. Very long values are split like others; the number of
-    distinct skeletons decides between a broadcast of the rules and a shuffled join.
+    distinct skeletons, against max_rows, decides between a broadcast of the rules and a shuffled join of the rare ones.
     """
     keep = [x for x in fields.columns if x not in ("mode", "value")]
     work = fields.where(F.col("value").isNotNull() & F.col("value").rlike(r"[^\s\p{Z}]")).withColumn("_parts", tokens(F.col("value")))
     work = work.withColumn("_sk", skeleton(F.col("_parts"))).drop("value")
-    rules = work.select(F.col("_sk").alias("_rsk"), F.col("mode").alias("_rmode")).distinct().withColumn("_rule", _resolve("_rsk", "_rmode"))
-    joined = work.join(bounded(rules), (F.col("_sk") == F.col("_rsk")) & (F.col("mode") == F.col("_rmode")))
+    counts = work.groupBy(F.col("_sk").alias("_rsk"), F.col("mode").alias("_rmode")).agg(F.count(F.lit(1)).alias("_n"))
+    rules = cut(counts.withColumn("_rule", _resolve("_rsk", "_rmode")))
+    same = (F.col("_sk") == F.col("_rsk")) & (F.col("mode") == F.col("_rmode"))
+    joined = work.join(bounded(rules, max_rows), same)
+    if rules.count() > max_rows:
+        # Most rows have one of a few skeletons, so these rules are broadcast and only rare skeletons are shuffled.
+        top = F.broadcast(cut(rules.orderBy(F.desc("_n"), "_rsk", "_rmode").limit(FREQUENT_RULES)))
+        joined = work.join(top, same).unionByName(work.join(top, same, "left_anti").join(rules.hint("merge"), same))
     items = F.filter(F.transform("_rule", lambda r: _item_text(F.col("_parts"), r, F.col("mode") == "tags")), lambda x: x != "")
     return joined.select(*keep, F.posexplode(items).alias("_pos", "item")).select(*keep, (F.col("_pos") + 1).cast("bigint").alias("pos"), "item")
 

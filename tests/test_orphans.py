@@ -1,6 +1,9 @@
 import datetime as dt
 import random
 
+import pytest
+
+from marginalia.operators import orphans
 from marginalia.operators.orphans import found_orphans
 
 T = lambda d: dt.datetime(2024, 1, 1) + dt.timedelta(days=d)
@@ -36,7 +39,9 @@ def test_states_and_names(spark):
     assert run(spark) == {}
 
 
-def test_against_brute_force_with_a_hot_key(spark):
+@pytest.mark.parametrize("span", [20_000, 5])
+def test_against_brute_force_with_a_hot_key(spark, monkeypatch, span):
+    monkeypatch.setattr(orphans, "HOT_SPAN", span)
     rng = random.Random(3)
     files = []
     for _ in range(60):

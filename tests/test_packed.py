@@ -61,3 +61,13 @@ def test_spans_lie_in_order_without_overlap(sk, mode):
     for start, n, _ in split_skeleton(sk, mode):
         assert start >= at and n > 0 and start + n <= len(sk)
         at = start + n
+
+
+def test_many_skeletons_are_joined_by_shuffle(spark, monkeypatch):
+    from marginalia.operators import packed
+
+    monkeypatch.setattr(packed, "FREQUENT_RULES", 1)
+    rows = [(i, "f", "list", v) for i, v in enumerate(["one"] * 40 + ["a, b", "a; b; c", "'x, y', z", None, ""] * 2)]
+    df = spark.createDataFrame(rows, "note_id long, field_name string, mode string, value string")
+    want = sorted(map(tuple, packed.split_packed(df).collect()))
+    assert len(want) == 54 and sorted(map(tuple, packed.split_packed(df, max_rows=2).collect())) == want

@@ -241,3 +241,20 @@ def test_cache_build(spark):
     got = {r["path"]: (r["pages"], r["content"], r["source_modified"].day) for r in references.build_cache(files, cache, pages, outline).collect()}
     assert got == {"a": (9, "old a", 2), "b": (2, "--- Page 1 ---\nb 1\n\n--- Page 2 ---\nb 2", 2), "c": (2, "--- Page 1 ---\nc 1\n\n--- Page 2 ---\nc 2\n\n--- Page 2 ---\nPart", 5)}
     assert references.build_cache(files, cache.limit(0), pages.limit(0)).count() == 0
+
+
+def test_best_matches_are_the_first_ranked(spark):
+    import random
+
+    rng = random.Random(8)
+    folder = lambda: "notes/" + "".join(f"{rng.choice('aAbc')}/" for _ in range(rng.randrange(4)))
+    names = ["x.md", "X.md", "y.md", "x.png", "y.MD", "z.canvas"]
+    files = sorted({folder() + rng.choice(names) for _ in range(120)} | {"top.md", "notes//odd.md"})
+    targets = ["x", "X.MD", "x.png", "a/x", "b/x.md", "c/a/X", "y", "z", "z.canvas", "a//x", "/x", "top", "notes/x", "odd", "/", ""]
+    asked = [(i, rng.choice([None, *files]) if rng.random() < 0.5 else folder() + "n.md", rng.choice(targets)) for i in range(300)]
+    df = spark.createDataFrame(asked, "link_id int, source string, target string")
+    paths = spark.createDataFrame([(f,) for f in files], "path string")
+    ranked = links.resolve_links(df, paths).where("rank = 1").select("link_id", "match")
+    best = links.best_matches(df, paths)
+    same = df.join(best, (df["target"] == best["target"]) & df["source"].eqNullSafe(best["source"])).select("link_id", "match")
+    assert sorted(map(tuple, same.collect())) == sorted(map(tuple, ranked.collect())) and ranked.count() > 100
