@@ -147,3 +147,8 @@ def violations(canvases: DataFrame) -> DataFrame:
     ends = edges.select("path", "pos", F.posexplode(F.array("f", "t")).alias("part", "ref"))
     lost = ends.join(nodes.select("path", F.col("id").alias("ref")).distinct(), ["path", "ref"], "left_anti").select("path", F.lit(4).alias("stage"), "pos", "part", F.lit("dangling edge").alias("code"), "ref")
     return bad.unionByName(again.unionByName(lost).join(good, "path", "left_anti"))
+
+
+def canvas_contents(canvases: DataFrame) -> DataFrame:
+    """path, node_count, edge_count, content of canvases (path, content): the counts next to the text as it is."""
+    return canvas_summary(canvases).select("path", "node_count", "edge_count").join(canvases.select("path", "content"), "path")

@@ -36,11 +36,63 @@ def inspect_bytes(data: bytes | None) -> tuple | None:
             return _gif(data)
         if data[:2] == b"\xff\xd8":
             return _jpeg(data)
+        if data[:4] == b"RIFF" and data[8:12] == b"WEBP":
+            return _webp(data)
+        if data[:4] in (b"II*\0", b"MM\0*"):
+            return _tiff(data)
+        if data[4:8] == b"ftyp":
+            return _heic(data)
     except (struct.error, IndexError):
         return None
     return None
 
 
+def _webp(data: bytes) -> tuple | None:
+    """Lossy, lossless and extended files; an extended one lists its frames with delays."""
+    kind = data[12:16]
+    if kind == b"VP8 ":
+        w, h = struct.unpack("<HH", data[26:30])
+        return ("webp", w & 0x3FFF, h & 0x3FFF, 1, None)
+    if kind == b"VP8L":
+        bits = struct.unpack("<I", data[21:25])[0]
+        return ("webp", (bits & 0x3FFF) + 1, (bits >> 14 & 0x3FFF) + 1, 1, None)
+    if kind != b"VP8X":
+        return None
+    three = lambda at: int.from_bytes(data[at : at + 3], "little")
+    at, delays = 12, []
+    while at + 8 <= len(data):
+        size = struct.unpack("<I", data[at + 4 : at + 8])[0]
+        if data[at : at + 4] == b"ANMF":
+            delays.append(three(at + 8 + 12) / 1000)
+        at += 8 + size + (size & 1)
+    return ("webp", three(24) + 1, three(27) + 1, max(len(delays), 1), delays if len(delays) > 1 else None)
+
+
+def _tiff(data: bytes) -> tuple | None:
+    """Width and height of the first directory, frames by the chain of directories (a loop ends it)."""
+    e = "<" if data[:2] == b"II" else ">"
+    at, size, seen = struct.unpack(e + "I", data[4:8])[0], {}, set()
+    while at and at not in seen:
+        seen.add(at)
+        n = struct.unpack(e + "H", data[at : at + 2])[0]
+        for i in range(at + 2, at + 2 + 12 * n, 12):
+            tag, kind = struct.unpack(e + "HH", data[i : i + 4])
+            if tag in (256, 257):
+                size.setdefault(tag, struct.unpack(e + ("H" if kind == 3 else "I"), data[i + 8 : i + (10 if kind == 3 else 12)])[0])
+        at = struct.unpack(e + "I", data[at + 2 + 12 * n : at + 6 + 12 * n])[0]
+    return ("tiff", size[256], size[257], len(seen), None) if len(size) == 2 else None
+
+
+def _heic(data: bytes) -> tuple | None:
+    """The largest of the images whose extents the file's item properties give (tiles and thumbnails are smaller)."""
+    best, at = None, data.find(b"ispe")
+    while at >= 0:
+        w, h = struct.unpack(">II", data[at + 8 : at + 16])
+        best = max(best or (0, 0), (w, h), key=lambda x: x[0] * x[1])
+        at = data.find(b"ispe", at + 4)
+    return ("heic", *best, 1, None) if best else None
+
+
 def _gif(data: bytes) -> tuple:
     w, h, flags = struct.unpack("<HHB", data[6:11])
     at = 13 + (3 << ((flags & 7) + 1) if flags & 128 else 0)

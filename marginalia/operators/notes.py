@@ -73,3 +73,9 @@ def read_notes(spark: SparkSession, notes: DataFrame, paths: list[str]) -> DataF
     out = F.broadcast(asked).join(got, F.col("_want") == F.col("_p"), "left")
     error = F.when(late, "skipped").when(F.col("_p").isNull(), "not found")
     return out.select("pos", F.col("_want").alias("path"), *[F.when(~late, F.col(c)).alias(c) for c in ("content", "word_count")], error.alias("error")).orderBy("pos")
+
+
+def read_counts(read: DataFrame) -> DataFrame:
+    """asked, found, missing, skipped: how the paths of a batch read fared (see ``read_notes``)."""
+    is_ = lambda e: F.count_if(F.col("error").eqNullSafe(F.lit(e)))
+    return read.agg(F.count(F.lit(1)).alias("asked"), is_(None).alias("found"), is_("not found").alias("missing"), is_("skipped").alias("skipped"))

@@ -111,3 +111,20 @@ def uncached(files: DataFrame, cache: DataFrame) -> DataFrame:
 
 def strategy(pages: Column) -> Column:
     return F.when(pages < FULL_PAGES, F.struct(F.lit("fullText").alias("kind"), F.lit(None).cast("int").alias("pages"))).otherwise(F.struct(F.lit("tocOnly").alias("kind"), F.lit(PART_PAGES).alias("pages")))
+
+
+#: What stands at the head of a cached text that an older version left in place of an extraction.
+PLACEHOLDER = r"^\[[A-Z]\w*MCP:"
+
+
+def cached_texts(cache_files: DataFrame, known: DataFrame, placeholder: str = PLACEHOLDER) -> DataFrame:
+    """path, title, part, content of the text files of a cache folder (path, content), ready to be searched.
+
+    Of each entry's folder, named by its key, only ``search_text.txt`` (part 0) and ``page_<number>.txt`` hold text; those that begin
+    with a placeholder, or whose folder belongs to none of known (path, title), are left out.
+    """
+    name = X.file_name(F.col("path"))
+    part = F.when(name == "search_text.txt", F.lit(0)).otherwise(F.regexp_extract(name, r"^page_([0-9]+)\.txt$", 1).try_cast("int"))
+    rows = cache_files.select(F.element_at(F.split("path", "/"), -2).alias("_key"), part.alias("part"), "content").where("part is not null and content is not null")
+    owners = known.select("path", "title", X.cache_key(F.col("path")).alias("_key"))
+    return rows.where(~F.col("content").rlike(placeholder)).join(owners, "_key").select("path", "title", "part", "content")

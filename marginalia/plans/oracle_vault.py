@@ -220,6 +220,9 @@ ORACLES = {
     "batch_read": rf"""WITH {_PARSED}, asked AS (SELECT i AS pos, 'notes/' || ['journal', 'meeting', 'reading'][i % 3 + 1] || '/doc-' || i * 7 || '.md' AS path FROM range(25) t(i))
       SELECT a.pos, a.path, CASE WHEN pos < 20 THEN CAST(len(list_filter(regexp_split_to_array(p.body, '[{_S}]+'), lambda x: x <> '')) AS BIGINT) END AS word_count, CASE WHEN pos < 20 THEN md5(n.content) END AS digest, CASE WHEN pos >= 20 THEN 'skipped' WHEN n.path IS NULL THEN 'not found' END AS error
       FROM asked a LEFT JOIN parsed_v p ON p.path = a.path LEFT JOIN notes_v n ON n.path = a.path""",
+    "batch_read_counts": f"WITH {_NOTES}, asked AS (SELECT i AS pos, 'notes/' || ['journal', 'meeting', 'reading'][i % 3 + 1] || '/doc-' || i * 7 || '.md' AS path FROM range(25) t(i)) SELECT count(*) AS asked, count(*) FILTER (pos < 20 AND n.path IS NOT NULL) AS found, count(*) FILTER (pos < 20 AND n.path IS NULL) AS missing, count(*) FILTER (pos >= 20) AS skipped FROM asked a LEFT JOIN notes_v n ON n.path = a.path",
+    "reference_cached_texts": f"WITH {_PAGES} SELECT path, CASE WHEN page % 7 = 1 THEN CAST(0 AS BIGINT) ELSE CAST(page AS BIGINT) END AS part, md5(text) AS digest FROM pages_v WHERE page IS NOT NULL AND text IS NOT NULL AND page % 7 NOT IN (0, 2) AND page % 5 <> 0 AND page % 11 <> 10",
+    "canvas_read": f"WITH {_CANVAS} SELECT c.path, CAST(coalesce(json_array_length(g.j, '$.nodes'), 0) AS BIGINT) AS node_count, CAST(coalesce(json_array_length(g.j, '$.edges'), 0) AS BIGINT) AS edge_count, md5(c.content) AS digest FROM canvas_v c LEFT JOIN good_v g ON g.path = c.path",
     "reference_pages_read": f"""WITH {_PAGES}, own AS (SELECT * FROM pages_v WHERE path = (SELECT min(path) FROM pages_v)), labelled AS (SELECT coalesce(min(page) FILTER (label = '3'), min(page) FILTER (page = 3)) AS p FROM own), top AS (SELECT max(page) AS t FROM own),
       asked AS (SELECT 'query' AS how, 20 AS most, * FROM own WHERE contains(lower(text), 'the') UNION ALL SELECT 'label', 5, * FROM own WHERE page = (SELECT p FROM labelled) UNION ALL SELECT 'page', 5, * FROM own WHERE page = 2
         UNION ALL SELECT 'range', 5, * FROM own WHERE page BETWEEN 2 AND least(4, (SELECT t FROM top)) UNION ALL SELECT 'first', 5, * FROM own UNION ALL SELECT 'bad range', 20, * FROM own WHERE page BETWEEN 1 AND least(10, (SELECT t FROM top)))

@@ -363,6 +363,31 @@ def batch_read(s: SparkSession, d: str) -> DataFrame:
     return notes.read_notes(s, V.notes(s, d), paths).select(F.col("pos").cast("bigint").alias("pos"), "path", F.col("word_count").cast("bigint").alias("word_count"), F.md5("content").alias("digest"), "error")
 
 
+@query
+def batch_read_counts(s: SparkSession, d: str) -> DataFrame:
+    """How many of the paths of a batch read were found, missing or skipped."""
+    paths = [f"notes/{('journal', 'meeting', 'reading')[i % 3]}/doc-{i * 7}.md" for i in range(25)]
+    return notes.read_counts(notes.read_notes(s, V.notes(s, d), paths))
+
+
+@query
+def reference_cached_texts(s: SparkSession, d: str) -> DataFrame:
+    """The texts among the files of a cache folder: pages, a whole text, files of other names, placeholders, unknown folders."""
+    pages, n = V.pages(s, d).where("page is not null"), F.col("page")
+    name = F.when(n % 7 == 0, "page_labels.json").when(n % 7 == 1, "search_text.txt").when(n % 7 == 2, "page_x.txt").otherwise(F.concat(F.lit("page_"), n.cast("string"), F.lit(".txt")))
+    folder = F.when(n % 11 == 10, F.lit("unknown")).otherwise(X.cache_key(F.col("path")))
+    files = pages.select(F.concat_ws("/", F.lit("cache"), folder, name).alias("path"), F.when(n % 5 == 0, F.concat(F.lit("[OldMCP: none] "), "text")).otherwise(F.col("text")).alias("content"))
+    got = references.cached_texts(files, pages.select("path").distinct().withColumn("title", F.lit(None).cast("string")))
+    return got.select("path", F.col("part").cast("bigint").alias("part"), F.md5("content").alias("digest"))
+
+
+@query
+def canvas_read(s: SparkSession, d: str) -> DataFrame:
+    """Every canvas with its counts and its own text."""
+    c = V.canvases(s, d)
+    return canvas.canvas_contents(c).select("path", F.col("node_count").cast("bigint").alias("node_count"), F.col("edge_count").cast("bigint").alias("edge_count"), F.md5("content").alias("digest"))
+
+
 @query
 def reference_pages_read(s: SparkSession, d: str) -> DataFrame:
     """Pages of the first reference: by query, label, number, range and the first ones."""

@@ -258,3 +258,36 @@ def test_best_matches_are_the_first_ranked(spark):
     best = links.best_matches(df, paths)
     same = df.join(best, (df["target"] == best["target"]) & df["source"].eqNullSafe(best["source"])).select("link_id", "match")
     assert sorted(map(tuple, same.collect())) == sorted(map(tuple, ranked.collect())) and ranked.count() > 100
+
+
+def test_more_image_headers(spark):
+    import struct
+
+    riff = lambda kind, body: b"RIFF" + struct.pack("<I", len(body) + 12) + b"WEBP" + kind + struct.pack("<I", len(body)) + body
+    lossy = riff(b"VP8 ", b"\0\0\0\x9d\x01\x2a" + struct.pack("<HH", 30, 40) + b"\0" * 4)
+    lossless = riff(b"VP8L", b"\x2f" + struct.pack("<I", (50 - 1) | (60 - 1) << 14) + b"\0" * 4)
+    anmf = b"ANMF" + struct.pack("<I", 16) + b"\0" * 12 + (250).to_bytes(3, "little") + b"\0"
+    moving = riff(b"VP8X", b"\0" * 4 + (69).to_bytes(3, "little") + (79).to_bytes(3, "little")) + anmf * 3
+    entry = lambda e, tag, v: struct.pack(e + "HHI", tag, 3, 1) + struct.pack(e + "H", v) + b"\0\0"
+    tiff = lambda e, head: head + struct.pack(e + "I", 8) + struct.pack(e + "H", 2) + entry(e, 256, 7) + entry(e, 257, 9) + struct.pack(e + "I", 8)
+    box = lambda w, h: b"\0\0\0\x14ispe\0\0\0\0" + struct.pack(">II", w, h)
+    heic = b"\0\0\0\x18ftypheic" + b"\0" * 12 + box(512, 512) + box(4032, 3024)
+    df = spark.createDataFrame([(x,) for x in (lossy, lossless, moving, tiff("<", b"II*\0"), tiff(">", b"MM\0*"), heic, b"RIFF....WEBPjunk", b"II*\0")], "data binary")
+    got = [tuple(r["i"])[:4] for r in df.select(images.inspect("data").alias("i")).collect()]
+    assert got == [("webp", 30, 40, 1), ("webp", 50, 60, 1), ("webp", 70, 80, 3), ("tiff", 7, 9, 1), ("tiff", 7, 9, 1), ("heic", 4032, 3024, 1), (None,) * 4, (None,) * 4]
+
+
+def test_rows_of_an_open_pdf():
+    from types import SimpleNamespace as N
+
+    from marginalia.sources import pages as P
+
+    def broken():
+        raise ValueError("bad stream")
+
+    entry = lambda title, page: N(title=title, page=page)
+    deep = [entry("A", 0), [entry("A.1", None), [entry("A.1.1", 2), [entry("too deep", 3)]]], entry("B", 4)]
+    pdf = N(page_labels=["i"], pages=[N(extract_text=lambda: "one"), N(extract_text=broken), N(extract_text=lambda: None)], outline=deep, metadata=N(title=" T ", author=""), get_destination_page_number=lambda e: e.page)
+    assert P.page_rows(pdf) == [(1, "i", "one", None), (2, None, None, "page not readable: bad stream"), (3, None, "", None)]
+    assert P.outline_rows(pdf) == [(1, 0, "A", 1, None), (2, 2, "A.1.1", 3, None), (3, 0, "B", 5, None)]
+    assert P.attribute_rows(pdf) == [("T", None, 3, None)] and P.attribute_rows(N(metadata=None, pages=[])) == [(None, None, 0, None)]
