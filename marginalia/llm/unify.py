@@ -179,7 +179,8 @@ class Unifier:
         text = self.space.sub(blank, text)
         text = self.accent.sub(compose, text)
         # What is left, such as signs with one composed form or letters of other scripts, is no disguise but has one form too.
-        text = self.loose.sub(lambda m: unicodedata.normalize("NFC", m[0]), text)
+        if not unicodedata.is_normalized("NFC", text):
+            text = self.loose.sub(lambda m: unicodedata.normalize("NFC", m[0]), text)
         if self.foreign.search(text):
             text = self.word.sub(latin, text)
         return text, sorted(kinds)
