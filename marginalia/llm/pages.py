@@ -163,7 +163,8 @@ def running_text(rows: DataFrame, edges: DataFrame) -> DataFrame:
     """The running text lines of pages with what is cut at their ends.
 
     ``_mark`` the cut mark that ends the line, ``_tail`` the piece of the last word before it, ``_next`` the first piece of
-    the next running line, ``_inner`` the line without its cut pieces, ``_w`` its words in lower case. Neighbours of the same page
+    the next running line, ``_w`` the words of the line without its cut pieces, in lower case, ``_compounds`` those with hyphens in
+    their own case. Neighbours of the same page
     come from the page's own array of lines; only pages' ends meet in a join.
     """
     pages = rows.join(edges, ["page_id", "field_name"], "left")
@@ -186,7 +187,10 @@ def running_text(rows: DataFrame, edges: DataFrame) -> DataFrame:
     })
     inner = F.when(F.col("_mark") != "", F.regexp_replace("line", rf"[{_LETTER}]+[{CUT_MARKS}]$", "")).otherwise(F.col("line"))
     inner = F.when(F.col("_cut_before"), F.regexp_replace(inner, rf"^[^{_LETTER}]*[{_LETTER}]+", "")).otherwise(inner)
-    return text.withColumn("_inner", inner).withColumn("_w", _words(F.lower("_inner"))).drop("_pl", "_nl", "_np", "_pp")
+    # Words and compounds are taken here, once; the inner text itself isn't needed any more.
+    compounds = F.when(F.col("_inner").contains("-"), F.regexp_extract_all("_inner", F.lit(r"([\p{L}\p{M}\p{N}@|]+(?:-[\p{L}\p{M}\p{N}@|]+){1,20})"), F.lit(1)))
+    text = text.withColumn("_inner", inner).withColumns({"_w": _words(F.lower("_inner")), "_compounds": compounds})
+    return text.drop("_inner", "_cut_before", "_pl", "_nl", "_np", "_pp")
 
 
 def word_counts(text: DataFrame) -> DataFrame:
@@ -227,7 +231,7 @@ def cut_words(text: DataFrame, counts: DataFrame, least: int = 2) -> DataFrame:
     (as when the next page is missing), a first half known from compounds is a compound's.
     """
     joined = counts.groupBy(strokes(F.col("word")).alias("_k")).agg(F.sum("n").alias("_joined"))
-    compound = text.where(F.col("_inner").contains("-")).select(F.explode(F.regexp_extract_all("_inner", F.lit(r"([\p{L}\p{M}\p{N}@|]+(?:-[\p{L}\p{M}\p{N}@|]+){1,20})"), F.lit(1))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    compound = text.select(F.explode("_compounds").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     whole = compound.groupBy(strokes(F.regexp_replace("w", "-", "")).alias("_k")).agg(F.sum("n").alias("_compound"))
     firsts = compound.groupBy(strokes(F.substring_index("w", "-", 1)).alias("_t")).agg(F.sum("n").alias("_firsts"))
     ends = text.where("_mark <> ''").select("page_id", "field_name", "line_no", "_mark", strokes(F.col("_tail")).alias("_t"), strokes(F.concat(F.col("_tail"), F.coalesce("_next", F.lit("")))).alias("_k"), F.col("_next").isNotNull().alias("_has"))
