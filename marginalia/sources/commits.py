@@ -1,6 +1,7 @@
 """The commit log of a working copy as a data source: ``spark.read.format("commits").option("root", ...)``.
 
-Options: root, path (one file's log, renames not followed), since (ISO time), limit. One partition, read by plain git.
+Options: root, path (one file's log, renames not followed), since (ISO time), limit. One partition, read by plain git. A
+log without commits has no rows; a folder that isn't a working copy is an error.
 """
 
 from __future__ import annotations
@@ -34,7 +35,9 @@ class CommitReader(DataSourceReader):
         command += [f"--since={o['since']}"] if "since" in o else []
         command += ["--", o["path"]] if "path" in o else []
         done = subprocess.run(command, capture_output=True, text=True, check=False)
-        yield from parse_log(done.stdout) if done.returncode == 0 else []
+        if done.returncode and "does not have any commits" not in done.stderr:
+            raise RuntimeError(f"git log failed: {done.stderr.strip()}")
+        yield from parse_log(done.stdout)
 
 
 class CommitSource(DataSource):

@@ -1,5 +1,6 @@
 import datetime as dt
 import subprocess
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -66,7 +67,11 @@ def test_commits(spark, tmp_path):
         git("commit", "-qm", f"Step {i}")
     assert [r["subject"] for r in commits.commits(spark, str(tmp_path), limit=2).collect()] == ["Step 2", "Step 1"]
     assert [r["subject"] for r in commits.commits(spark, str(tmp_path), path="f1.md").collect()] == ["Step 1"]
-    assert commits.commits(spark, str(tmp_path / "none")).count() == 0
+    (tmp_path / "new").mkdir()
+    subprocess.run(["git", "-C", str(tmp_path / "new"), "init", "-q"], check=True)
+    assert commits.commits(spark, str(tmp_path / "new")).count() == 0
+    with pytest.raises(Exception, match="git log failed"):
+        commits.commits(spark, str(tmp_path / "none")).count()
     assert commits.parse_log("h\nd\ns\n\nx\ny\n") == [("h", "d", "s")]
 
 
@@ -90,3 +95,22 @@ def test_toolbox(spark):
     v.read_only = True
     assert "read-only" in call("delete_note", path="notes/b.md")[0]["error"] and call("read_note", path="notes/b.md")
     assert toolbox.audit_table(v).where("operation = 'DELETE'").count() == 1
+
+
+def test_refresh_rebuilds_what_was_touched(spark, tmp_path):
+    from marginalia.streaming import refresh
+
+    src, out = str(tmp_path / "pages"), str(tmp_path / "cache")
+
+    def arrive(*rows):
+        spark.createDataFrame(list(rows), refresh.PAGES).coalesce(1).write.mode("append").parquet(src)
+        time.sleep(1.1)  # file times are told apart by seconds
+        refresh.refresh_cache(spark, src, out, str(tmp_path / "state"), buckets=2).awaitTermination()
+        got = spark.read.parquet(out).collect()
+        assert len(got) == len({r["path"] for r in got})
+        return {r["path"]: r["content"] for r in got}
+
+    page = lambda n, t: f"--- Page {n} ---\n{t}"
+    assert arrive(("a", 1, None, "one"), ("b", 1, None, "x")) == {"a": page(1, "one"), "b": page(1, "x")}
+    assert arrive(("a", 2, None, "two"), ("c", 1, None, "y")) == {"a": page(1, "one") + "\n\n" + page(2, "two"), "b": page(1, "x"), "c": page(1, "y")}
+    assert arrive(("a", 1, None, "new"), (None, 1, None, "z"))["a"] == page(1, "new") + "\n\n" + page(2, "two")

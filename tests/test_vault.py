@@ -221,8 +221,9 @@ def test_deleted_attachments_and_missing_relations(spark):
     from marginalia.operators.toolbox import Vault, call
 
     v = Vault(spark, spark.createDataFrame([(1, T(1), "create", "notes/a.md", None, "one", "m")], history.VERSION), clock=lambda: T(9))
-    for name, args in (("list_references", {}), ("read_reference", {"path": "references/a.pdf"}), ("search_references", {"query": "x"}), ("get_reference_metadata", {"path": "references/a.pdf"}), ("read_image", {"path": "notes/a.png"}), ("list_notes", {"directory": "../x"}), ("read_notes", {"paths": ["/etc/x.md"]}), ("move_notes", {"moves": [{}]}), ("note_history", {"path": "../a"})):
+    for name, args in (("list_references", {}), ("read_reference", {"path": "references/a.pdf"}), ("search_references", {"query": "x"}), ("get_reference_metadata", {"path": "references/a.pdf"}), ("read_image", {"path": "notes/a.png"}), ("list_notes", {"directory": "../x"}), ("move_notes", {"moves": [{}]}), ("note_history", {"path": "../a"})):
         assert call(v, name, **args).columns == ["error"], name
+    assert [r["error"] for r in call(v, "read_notes", paths=["/etc/x.md", "notes/a.md"]).collect()] == ["not found", None]
     v.files = spark.createDataFrame([("notes/p.png", 5, T(1)), ("references/r.pdf", 7, T(1))], "path string, size_bytes long, modified timestamp")
     assert [r["path"] for r in call(v, "list_attachments").collect()] == ["notes/p.png"]
     assert call(v, "delete_attachment", path="notes/q.png").columns == ["error"]
