@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from marginalia.functions import text as X
 from marginalia.operators import attachments, canvas, edits, guards, history, images, links, notes, references, search
 from marginalia.plans import vault_views as V
-from marginalia.session import table
+from marginalia.session import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 NOW = dt.datetime(2025, 12, 31)
@@ -327,8 +327,9 @@ def edit_revert(s: SparkSession, d: str) -> DataFrame:
 def state_after_edits(s: SparkSession, d: str) -> DataFrame:
     """The vault after a batch of moves and then one of new notes."""
     v = V.versions(s, d)
-    v = v.unionByName(edits.version_rows(v, _edits(s, d, "move"), NOW))
-    v = v.unionByName(edits.version_rows(v, _edits(s, d, "create"), NOW))
+    # Each batch is written before the next one reads the versions, as appending to their table does.
+    v = v.unionByName(cut(edits.version_rows(v, _edits(s, d, "move"), NOW)))
+    v = v.unionByName(cut(edits.version_rows(v, _edits(s, d, "create"), NOW)))
     return history.state(v).select("path", F.md5("content").alias("digest"))
 
 
